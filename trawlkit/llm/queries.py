@@ -52,3 +52,17 @@ def op10_suffix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query()
+def op2_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawlkit.llm.langid import language_report
+
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawlkit.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
