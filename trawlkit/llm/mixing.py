@@ -199,9 +199,9 @@ def mix_report(docs: DataFrame, *, weights=WEIGHTS, most: float = MOST, block: i
     found = sources(sized, weights=weights, most=most, block=block, seed=seed)
     cut = pieces(placed(sized, found), block)
     drawn = slots(sized.sparkSession, found, block=block, seed=seed).select("src", "block", "take")
-    share = F.greatest(F.least("hi", "take") - F.col("lo"), F.lit(0))
+    share = F.when(F.col("take").isNull(), 0).otherwise(F.greatest(F.least("hi", "take") - F.col("lo"), F.lit(0)))  # least() skips nulls
     met = cut.join(drawn, ["src", "block"], "left")
-    return met.groupBy("src", "bucket", "rn", "doc_id", "size", "source_size", "target").agg(F.sum(F.coalesce(share, F.lit(0))).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    return met.groupBy("src", "bucket", "rn", "doc_id", "size", "source_size", "target").agg(F.sum(share).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_text(docs: DataFrame, *, weights=WEIGHTS, most: float = MOST, block: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
