@@ -66,3 +66,17 @@ def op3_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trawlkit.llm.mixing import mix_report
 
     return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawlkit.llm.tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawlkit.llm.toxicity import toxicity_report
+
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
