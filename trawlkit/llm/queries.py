@@ -80,3 +80,10 @@ def op7_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trawlkit.llm.toxicity import toxicity_report
 
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawlkit.llm.pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
