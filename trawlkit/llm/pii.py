@@ -170,15 +170,14 @@ def reliabilities(patterns: list[tuple[str, tuple[int, ...], float]], rounds: in
         rows = [(v, n) for k, v, n in patterns if k == kind]
         v = np.array([r[0] for r in rows])
         n = np.array([r[1] for r in rows], dtype=float)
-        # begin with the majority; the prior keeps labelers better than chance
+        # begin with the majority; even odds and the prior of nine right votes in ten keep one class from taking all
         post = ((v == 1).sum(1) + 1) / ((v != 2).sum(1) + 2)
         for _ in range(rounds):
-            share = ((n * post).sum() + 1) / (n.sum() + 2)
-            log = np.tile(np.log([1 - share, share]), (len(v), 1))
+            log = np.zeros((len(v), 2))
             for j in range(v.shape[1]):
                 said = v[:, j]
-                right1 = ((n * post)[said == 1].sum() + 4) / ((n * post)[said != 2].sum() + 5)
-                right0 = ((n * (1 - post))[said == 0].sum() + 4) / ((n * (1 - post))[said != 2].sum() + 5)
+                right1 = ((n * post)[said == 1].sum() + 9) / ((n * post)[said != 2].sum() + 10)
+                right0 = ((n * (1 - post))[said == 0].sum() + 9) / ((n * (1 - post))[said != 2].sum() + 10)
                 log[:, 1] += np.select([said == 1, said == 0], [np.log(right1), np.log(1 - right1 + 1e-9)], 0.0)
                 log[:, 0] += np.select([said == 1, said == 0], [np.log(1 - right0 + 1e-9), np.log(right0)], 0.0)
             post = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
