@@ -143,7 +143,7 @@ def placed(sized: DataFrame, found: list[Source], bucket_docs: int = 256) -> Dat
     inside = known.withColumns({"before": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "rn": F.row_number().over(order)})
     held = known.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     ahead = held.select("src", "bucket", (F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("ahead"))
-    return inside.join(ahead, ["src", "bucket"]).withColumn("at", F.col("before") + F.col("ahead")).drop("before", "ahead")
+    return inside.join(ahead.hint("merge"), ["src", "bucket"]).withColumn("at", F.col("before") + F.col("ahead")).drop("before", "ahead")
 
 
 def pieces(stream: DataFrame, block: int) -> DataFrame:
@@ -200,7 +200,7 @@ def mix_report(docs: DataFrame, *, weights=WEIGHTS, most: float = MOST, block: i
     cut = pieces(placed(sized, found), block)
     drawn = slots(sized.sparkSession, found, block=block, seed=seed).select("src", "block", "take")
     share = F.when(F.col("take").isNull(), 0).otherwise(F.greatest(F.least("hi", "take") - F.col("lo"), F.lit(0)))  # least() skips nulls
-    met = cut.join(drawn, ["src", "block"], "left")
+    met = cut.join(drawn.hint("merge"), ["src", "block"], "left")  # both sides grow with the words; their size estimates don't
     return met.groupBy("src", "bucket", "rn", "doc_id", "size", "source_size", "target").agg(F.sum(share).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -213,4 +213,4 @@ def mixed_text(docs: DataFrame, *, weights=WEIGHTS, most: float = MOST, block: i
     part = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), start, (F.col("hi") - F.col("lo")).cast("int"))
     whole = cut.select("src", "source", "block", "lo", part.alias("words")).groupBy("src", "source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "words"))), lambda x: x["words"])).alias("words"))
     drawn = slots(sized.sparkSession, found, block=block, seed=seed)
-    return drawn.join(whole, ["src", "block"]).select("shard", "slot", "source", F.array_join(F.slice("words", F.lit(1), F.col("take").cast("int")), " ").alias("text"))
+    return drawn.join(whole.hint("merge"), ["src", "block"]).select("shard", "slot", "source", F.array_join(F.slice("words", F.lit(1), F.col("take").cast("int")), " ").alias("text"))
