@@ -87,3 +87,18 @@ def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trawlkit.llm.pii import pii_report
 
     return pii_report(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n, sha256(html) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+""")
+def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawlkit.llm.warc import archive_report
+
+    return archive_report(table(spark, sf_dir, "pages"))
