@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +61,28 @@ def hash_order(*cols):
 
 #: A-Z to a-z, everything else as it is.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+
+def blocked(df: DataFrame, keys: list[str], item: str, rows: int) -> DataFrame:
+    """``df`` with columns bx, by, own that split its large groups for comparing all pairs within a group.
+
+    A group of more than ``rows`` rows is cut into blocks by a hash of ``item``,
+    and each pair of blocks (bx <= by) becomes a group of its own. A pair of rows
+    is to be compared where ``bx = by`` or their ``own`` blocks differ; each pair
+    then meets in exactly one place. Smaller groups have 0, 0, 0.
+    """
+    sizes = saved(df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > rows).select(*keys, F.ceil(F.col("n") / rows).cast("int").alias("parts")), "large")
+    if sizes.isEmpty():
+        return df.withColumns({c: F.lit(0) for c in ("bx", "by", "own")})
+    met = df.join(sizes, keys, "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64(item), F.col("parts")).cast("int"), F.lit(0)))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+    return met.select(*df.columns, F.least("own", "other").alias("bx"), F.greatest("own", "other").alias("by"), "own")
+
+
+def group_edges(columns) -> np.ndarray:
+    """Where each run of equal rows begins in sorted columns."""
+    change = np.zeros(len(columns[0]), dtype=bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return change

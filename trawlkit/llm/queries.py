@@ -102,3 +102,10 @@ def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trawlkit.llm.warc import archive_report
 
     return archive_report(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op5_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawlkit.llm.embeddings import vector_groups
+
+    return vector_groups(table(spark, sf_dir, "embeddings"))

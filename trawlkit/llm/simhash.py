@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.llm.common import ASCII_LOWER, saved
+from trawlkit.llm.common import ASCII_LOWER, blocked, group_edges, saved
 from trawlkit.llm.components import components, spanning_forest
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -89,72 +89,51 @@ def ring_pairs(x: np.ndarray, y: np.ndarray, start: np.ndarray, bits: int, m: in
 
 
 def _joiner(bits: int, m: int):
-    def flush(fp: np.ndarray, group: np.ndarray, start: np.ndarray, block: np.ndarray, cross: np.ndarray, masks) -> pa.RecordBatch | None:
-        """Groups lie in a row; pairs are met by their distance in it."""
+    masks = chain_masks(m)
+
+    def links(cols: list[np.ndarray]) -> pa.RecordBatch | None:
+        """Links within the sorted groups of ``cols``; pairs are met by their distance in the order."""
+        start, _, bx, by, own, fp = cols
+        fp, start = fp.view(np.uint64), start.astype(np.int64)
+        group = np.cumsum(group_edges(cols[:4]))
+        cross = bx != by
         a: list[np.ndarray] = []
         b: list[np.ndarray] = []
         held = 0
-        gap = 1
-        while gap < len(fp):
+        for gap in range(1, len(fp)):
             at = np.flatnonzero(group[:-gap] == group[gap:])
             if not len(at):
                 break
-            if cross.any():
-                at = at[~cross[at] | (block[at] != block[at + gap])]
+            at = at[~cross[at] | (own[at] != own[at + gap])]
             near = at[ring_pairs(fp[at], fp[at + gap], start[at], bits, m, masks)]
             if len(near):
                 a.append(fp[near].view(np.int64))
                 b.append(fp[near + gap].view(np.int64))
                 held += len(near)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 x, y = spanning_forest(np.concatenate(a), np.concatenate(b))
                 a, b, held = [x], [y], 0
-            gap += 1
         if not a:
             return None
         x, y = spanning_forest(np.concatenate(a), np.concatenate(b))
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = chain_masks(m)
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            cols = [np.concatenate(z) for z in zip(rest, new)] if rest else new
-            start, _, p, q, fp = cols
-            change = np.ones(len(fp), dtype=bool)
-            change[1:] = (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)
-            edges = np.flatnonzero(change)
-            if len(fp) - edges[0] < 50_000 and len(fp) < 200_000:
-                rest = cols
-                continue
-            full = edges[-1]  # the last group may go on in the next batch
-            if full:
-                out = _whole([c[:full] for c in cols], change[:full], masks)
-                if out is not None:
-                    yield out
+            cols = [np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(6)]
+            if rest:
+                cols = [np.concatenate(z) for z in zip(rest, cols)]
+            full = int(np.flatnonzero(group_edges(cols[:4]))[-1])  # the last group may go on in the next batch
             rest = [c[full:] for c in cols]
-        if rest and len(rest[0]):
-            change = np.ones(len(rest[0]), dtype=bool)
-            change[1:] = sum((np.diff(c) != 0) for c in rest[:4]) > 0
-            out = _whole(rest, change, masks)
-            if out is not None:
-                yield out
-
-    def _whole(cols, change, masks):
-        start, _, p, q, fp = cols
-        fp = np.ascontiguousarray(fp).view(np.uint64)
-        parts = (p >> 32).astype(np.int64)  # blocks of the group, 1 where it is whole
-        own = np.where(parts > 1, _block(fp, np.maximum(parts, 1)), 0)
-        return flush(fp, np.cumsum(change), start.astype(np.int64), own, (parts > 1) & ((p & 0xFFFFFFFF) != q), masks)
+            if full and (found := links([c[:full] for c in cols])) is not None:
+                yield found
+        if rest and (found := links(rest)) is not None:
+            yield found
 
     return run
 
 
-def _block(fp: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    return ((fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
-
-
 def near_links(prints: DataFrame, *, bits: int = BITS, segments: int | None = None, group_rows: int = 20_000) -> DataFrame:
     """Forest links (a, b) among the distinct fingerprints in column ``fp`` that differ in at most ``bits`` bits."""
     m = segments or bits + 1
@@ -163,34 +142,11 @@ def near_links(prints: DataFrame, *, bits: int = BITS, segments: int | None = No
     cut = bounds(m)
     segs = [F.struct(F.lit(i).alias("start"), F.shiftrightunsigned("fp", cut[i]).bitwiseAND(F.lit((1 << (cut[i + 1] - cut[i])) - 1)).alias("seg")) for i in range(m)]
     keys = prints.select("fp", F.explode(F.array(*segs)).alias("k")).select("k.start", "k.seg", "fp")
-    sizes = saved(keys.groupBy("start", "seg").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows).select("start", "seg", F.ceil(F.col("n") / group_rows).cast("long").alias("parts")), "large")
-    plain = lambda df: df.withColumns({"p": F.lit(1 << 32), "q": F.lit(0).cast("long")})
-    if sizes.isEmpty():
-        dealt = plain(keys)
-    else:
-        joined = keys.join(sizes, ["start", "seg"], "left")
-        large = joined.filter("parts is not null")
-        # the same multiplicative hash as _block, on the 31 bits above bit 33
-        own = F.pmod(_product_high(F.col("fp")), F.col("parts"))
-        large = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        large = large.select("start", "seg", "fp", (F.shiftleft(F.col("parts"), 32) + F.least("own", "other")).alias("p"), F.greatest("own", "other").alias("q"))
-        dealt = plain(joined.filter("parts is null").select("start", "seg", "fp")).unionByName(large)
-    dealt = dealt.select(F.col("start").cast("long").alias("start"), "seg", "p", "q", "fp").repartition("start", "seg", "p", "q").sortWithinPartitions("start", "seg", "p", "q")
+    place = ["start", "seg", "bx", "by"]
+    dealt = blocked(keys, ["start", "seg"], "fp", group_rows).select(*place, "own", "fp").repartition(*place).sortWithinPartitions(*place)
     return dealt.mapInArrow(_joiner(bits, m), "a long, b long")
 
 
-def _product_high(fp):
-    """(fp * constant mod 2^64) >> 33, unsigned, from 32-bit halves so that nothing overflows under ANSI."""
-    c = 0x9E3779B97F4A7C15
-    ch, cl = c >> 32, c & 0xFFFFFFFF
-    hi, lo = F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF))
-    as_dec = lambda x: x.cast("decimal(38,0)")
-    low = as_dec(lo) * F.lit(cl).cast("decimal(20,0)")
-    mid = as_dec(hi) * F.lit(cl).cast("decimal(20,0)") + as_dec(lo) * F.lit(ch).cast("decimal(20,0)")
-    total = (low + (mid % F.lit(1 << 32).cast("decimal(20,0)")) * F.lit(1 << 32).cast("decimal(20,0)")) % F.lit(1 << 64).cast("decimal(20,0)")
-    return F.floor(total / F.lit(1 << 33).cast("decimal(20,0)")).cast("long")
-
-
 def fingerprint_components(prints: DataFrame, **options) -> DataFrame:
     """(fp, component_id) for every distinct ``fp`` of ``prints`` (doc_id, fp)."""
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
