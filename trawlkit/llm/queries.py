@@ -109,3 +109,16 @@ def op5_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trawlkit.llm.embeddings import vector_groups
 
     return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
+@query(r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?is)<article[^>]*>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+b AS (SELECT page_id, url, unnest(regexp_split_to_array(body, '(?i)</?(?:h1|p|br)>')) AS block, generate_subscripts(regexp_split_to_array(body, '(?i)</?(?:h1|p|br)>'), 1) AS i FROM a),
+t AS (SELECT page_id, url, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(block, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS line FROM b),
+j AS (SELECT page_id, url, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE line <> ''), '') AS text FROM t GROUP BY page_id, url)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM j
+""")
+def op8_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawlkit.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
