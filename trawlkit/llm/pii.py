@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -283,7 +284,7 @@ def pii_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def redacted(docs: DataFrame, *, text: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` with every found span of ``text`` replaced by its kind in angle brackets; overlapping spans go as one."""
+    """``docs`` with every found span of ``text`` replaced by its kind in angle brackets; overlapping spans go as one. A column ``n_chars`` follows."""
     name = "_spans"
     while name in docs.columns:
         name += "_"
@@ -303,7 +304,11 @@ def redacted(docs: DataFrame, *, text: str = "text", least: float = 0.5) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = pa.array([one(t.as_py(), s.as_py()) for t, s in zip(b.column(at), b.column(b.num_columns - 1))], type=pa.string())
-            yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
+            new = pa.array([one(t.as_py(), s.as_py()) if len(s) else t.as_py() for t, s in zip(b.column(at), b.column(b.num_columns - 1))], type=pa.string())
+            cols = {at: new}
+            if "n_chars" in docs.columns:
+                i = docs.columns.index("n_chars")
+                cols[i] = pc.if_else(pc.equal(b.column(at), new), b.column(i), pc.utf8_length(new).cast(b.column(i).type))
+            yield pa.RecordBatch.from_arrays([cols.get(i, b.column(i)) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
 
     return kept.mapInArrow(run, docs.schema)
