@@ -291,6 +291,7 @@ def redacted(docs: DataFrame, *, text: str = "text", least: float = 0.5) -> Data
     marked = saved(with_candidates(docs, text=text, keep_text=True, name=name), "spans")
     kept = accepted(marked, learn(marked, name=name), name=name, least=least)
     at = docs.columns.index(text)
+    size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def one(t: str | None, spans: list[dict]) -> str | None:
         if not spans:
@@ -306,9 +307,9 @@ def redacted(docs: DataFrame, *, text: str = "text", least: float = 0.5) -> Data
         for b in batches:
             new = pa.array([one(t.as_py(), s.as_py()) if len(s) else t.as_py() for t, s in zip(b.column(at), b.column(b.num_columns - 1))], type=pa.string())
             cols = {at: new}
-            if "n_chars" in docs.columns:
-                i = docs.columns.index("n_chars")
-                cols[i] = pc.if_else(pc.equal(b.column(at), new), b.column(i), pc.utf8_length(new).cast(b.column(i).type))
+            if size_at >= 0:
+                old = b.column(size_at)
+                cols[size_at] = pc.if_else(pc.equal(b.column(at), new), old, pc.utf8_length(new).cast(old.type))
             yield pa.RecordBatch.from_arrays([cols.get(i, b.column(i)) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
 
     return kept.mapInArrow(run, docs.schema)
