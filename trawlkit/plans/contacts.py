@@ -24,7 +24,7 @@ from trawlkit.operators.phones import with_phones
 
 _ITEMS = "array<struct<value:string,sources:array<string>,is_likely_official:boolean>>"
 _PLAIN = "array<struct<value:string,sources:array<string>>>"
-_NO = F.lit(False)
+
 
 
 def _found(field, value: Column, from_href: Column, in_footer: Column) -> Column:
@@ -35,15 +35,15 @@ def email_hits() -> Column:
     """Addresses of a parsed page in order of evidence: links, coded ones, text, text with disguises undone."""
     linked = F.transform(F.filter("anchors", lambda a: a["href"].rlike(java(rules.MAILTO))), lambda a: _found("emails", mailto_address(a["href"]), F.lit(True), a["in_footer"]))
     coded = F.transform("cfemails", lambda c: _found("emails", decoded_cfemail(c["hex"]), c["from_href"], c["in_footer"]))
-    shown = lambda text: F.transform(found_emails(text), lambda v: _found("emails", v, _NO, _NO))
+    shown = lambda text: F.transform(found_emails(text), lambda v: _found("emails", v, F.lit(False), F.lit(False)))
     return F.concat(linked, coded, shown(F.col("safe_text")), shown(F.coalesce("plain_text", F.lit(""))))
 
 
 def social_urls(platform: str) -> Column:
     """Urls of a page that a platform's pattern finds: in the raw html, then in whole links."""
     none = F.array().cast("array<struct<field:string,value:string,from_href:boolean,in_footer:boolean>>")
-    raw = F.transform(detected(F.col("scanned"), platform), lambda u: _found(platform, u, _NO, _NO)) if platform not in rules.ANCHOR_ONLY else none
-    fits = F.filter("anchors", lambda a: F.coalesce(a["resolved"].rlike(java(rules.PLATFORM_PATTERN[platform])), _NO))
+    raw = F.transform(detected(F.col("scanned"), platform), lambda u: _found(platform, u, F.lit(False), F.lit(False))) if platform not in rules.ANCHOR_ONLY else none
+    fits = F.filter("anchors", lambda a: F.coalesce(a["resolved"].rlike(java(rules.PLATFORM_PATTERN[platform])), F.lit(False)))
     found = F.concat(raw, F.transform(fits, lambda a: _found(platform, a["resolved"], F.lit(True), a["in_footer"])))
     return F.when(F.col("low").rlike(rules.GATES[platform]), found).otherwise(none)
 
@@ -59,8 +59,8 @@ def page_hits(pages: DataFrame) -> DataFrame:
     read = read.withColumn("wa_numbers", F.array_distinct(F.filter(numbers, lambda n: n.isNotNull())))
     read = with_phones(read.select("site", "page_seq", "url", "domain", "title", "description", "text", "anchors", "region", "wa_numbers", email_hits().alias("emails"), "socials"))
     numbered = lambda field: F.transform(field, lambda p: F.struct(F.lit(field).alias("field"), p["key"].alias("key"), p["value"].alias("value"), F.lit(None).cast("string").alias("handle"), p["from_href"].alias("from_href"), p["in_footer"].alias("in_footer"), p["region_match"].alias("region_match")))
-    loose = lambda h: F.struct(h["field"].alias("field"), F.lower(h["value"]).alias("key"), h["value"].alias("value"), F.lit(None).cast("string").alias("handle"), h["from_href"].alias("from_href"), h["in_footer"].alias("in_footer"), _NO.alias("region_match"))
-    page = F.struct(F.lit("_page").alias("field"), F.lit("").alias("key"), F.col("title").alias("value"), F.col("description").alias("handle"), _NO.alias("from_href"), _NO.alias("in_footer"), _NO.alias("region_match"))
+    loose = lambda h: F.struct(h["field"].alias("field"), F.lower(h["value"]).alias("key"), h["value"].alias("value"), F.lit(None).cast("string").alias("handle"), h["from_href"].alias("from_href"), h["in_footer"].alias("in_footer"), F.lit(False).alias("region_match"))
+    page = F.struct(F.lit("_page").alias("field"), F.lit("").alias("key"), F.col("title").alias("value"), F.col("description").alias("handle"), F.lit(False).alias("from_href"), F.lit(False).alias("in_footer"), F.lit(False).alias("region_match"))
     at = ["site", "page_seq", F.col("url").alias("page_url"), "domain"]
     rest = F.concat(F.array(page), numbered("phones"), numbered("phones_uncertain"))
     # one array of all hits, so that the chain above runs once
