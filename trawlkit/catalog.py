@@ -23,6 +23,7 @@ from trawlkit.operators.parse import parse_pages
 from trawlkit.plans import results
 from trawlkit.plans.contacts import contacts, error_rows
 from trawlkit.sources.files import pages_of
+from trawlkit.sources.scratch import spread
 from trawlkit.sources.tasks import duration, split_tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +41,8 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def _long(c) -> Column:

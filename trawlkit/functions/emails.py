@@ -16,7 +16,8 @@ from trawlkit.functions.rules import java
 
 def found_emails(text: Column, pattern: str = rules.EMAIL) -> Column:
     """All addresses in scan-safe text, in order."""
-    return F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
+    # a text without the sign holds no address, and most texts have none
+    return F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def is_email(value: Column) -> Column:

@@ -21,6 +21,7 @@ from trawlkit.functions.urls import keyword_score, region_of, site_label, url_ho
 from trawlkit.operators.merge import entries, listed
 from trawlkit.operators.parse import parse_pages
 from trawlkit.operators.phones import with_phones
+from trawlkit.sources.scratch import saved
 
 _ITEMS = "array<struct<value:string,sources:array<string>,is_likely_official:boolean>>"
 _PLAIN = "array<struct<value:string,sources:array<string>>>"
@@ -98,7 +99,8 @@ def contacts(pages: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     if "domain" not in pages.columns:
         pages = pages.withColumn("domain", url_host(F.col("url")))
     homes = homepages(pages)
-    hits = page_hits(pages)
+    # read by the ranking, the number folding and the titles: pages are parsed once
+    hits = saved(page_hits(pages), "hits")
     if "weight_class" in pages.columns:
         classed = hits.join(pages.select("site", "page_seq", F.col("weight_class").alias("kind")), ["site", "page_seq"])
     else:

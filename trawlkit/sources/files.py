@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trawlkit.functions.urls import url_host
 from trawlkit.operators.frontier import guarded_html
 from trawlkit.plans.results import export_ready
+from trawlkit.sources.scratch import spread
 
 FETCHES = "site string, page_seq int, url string, final_url string, status int, html string, content_type string, headers map<string,array<string>>, mode_used string, error string"
 
@@ -21,7 +22,7 @@ def read_fetches(spark: SparkSession, path: str) -> DataFrame:
 
 def pages_of(pages: DataFrame) -> DataFrame:
     """A table (page_id, url, html) as pages: the host is the site, ids give the order."""
-    return pages.select(url_host(F.col("url")).alias("site"), F.col("page_id").alias("page_seq"), "url", "html")
+    return spread(pages).select(url_host(F.col("url")).alias("site"), F.col("page_id").alias("page_seq"), "url", "html")
 
 
 def write_json(df: DataFrame, path: str) -> None:
