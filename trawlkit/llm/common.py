@@ -1,52 +1,16 @@
-"""What the training-data operators share: the shared scratch folder, row keys, Arrow plumbing.
-
-Scratch tables are Parquet under the folder the cluster names in
-``spark.checkpoint.dir``; every executor sees it, so a lost executor costs
-only the tasks it was running. Where the setting is unset (tests) a temporary
-folder is set for the session.
-"""
+"""What the training-data operators share: tables, row keys, splitting of large groups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, without a trailing slash."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="trawlkit-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and reread: cuts lineage, fixes values, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Deletes the files behind a frame from :func:`saved` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+from trawlkit.sources.scratch import drop_saved, saved, scratch_path, shared_dir, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def crc_mod(doc_id, modulus: int):
@@ -59,6 +23,8 @@ def hash_order(*cols):
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 63) - 1))
 
 
+__all__ = ["ASCII_LOWER", "blocked", "crc_mod", "drop_saved", "group_edges", "hash_order", "saved", "scratch_path", "shared_dir", "spread", "table"]
+
 #: A-Z to a-z, everything else as it is.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 

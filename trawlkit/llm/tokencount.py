@@ -12,8 +12,9 @@ Pieces and ranks come from a public vocabulary file whose path is a parameter;
 a piece of rank ``r`` scores ``-log(r + 2)``, the rank-frequency law. Ties go to
 fewer tokens, then to the longer last piece.
 
-Every task keeps its own trie and clears it beyond ``max_nodes``, which costs
-work and changes nothing; counts need no shuffle. A pre-token longer than
+Every Python worker keeps a trie from task to task and clears it beyond
+``max_nodes`` (and the terminal counts beyond twice as many), which costs work
+and changes nothing; counts need no shuffle. A pre-token longer than
 ``trie_chars`` is scored along an array instead.
 
 Defined cases: null, empty and blank texts have no tokens; repeated rows get
@@ -56,14 +57,14 @@ class TrieCounter:
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[""] = score
+        self.scored = 0  #: nodes computed so far
+        self.terminal: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         #: a node: (children, score, tokens, parent, character)
         self.root = ({}, 0.0, 0, None, "")
         self.nodes = 1
-        self.scored = 0
-        self.terminal: dict[str, int] = {}
 
     def _node(self, parent, char: str):
         """The forward score of the parent's prefix and ``char``, from those of its own prefixes."""
@@ -107,6 +108,8 @@ class TrieCounter:
                 return self._array(word)
             if self.nodes > self.max_nodes:
                 self.clear()
+            if len(self.terminal) > 2 * self.max_nodes:
+                self.terminal.clear()
             node = self.root
             for c in word:
                 node = node[0].get(c) or self._node(node, c)
@@ -122,12 +125,23 @@ class TrieCounter:
         return sum(n * get(w) for w, n in Counter(words).items()), len(words)
 
 
+#: A Python worker's trie, kept from task to task.
+_kept: dict[tuple, TrieCounter] = {}
+
+
+def _counter(key: tuple, pieces) -> TrieCounter:
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = TrieCounter(pieces.value, key[1])
+    return _kept[key]
+
+
 def token_counts(docs: DataFrame, *, vocabulary: str = VOCABULARY, text: str = "text", max_nodes: int = 500_000) -> DataFrame:
     """One row per document: doc_id, n_pretokens, n_tokens."""
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(vocabulary))  # one vocabulary, a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TrieCounter(pieces.value, max_nodes)
+        counter = _counter((vocabulary, max_nodes), pieces)
         for batch in batches:
             found = [counter.count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in found], type=pa.int64()), pa.array([n for n, _ in found], type=pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
