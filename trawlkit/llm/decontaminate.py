@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawlkit.llm.common import frugal
+
 WINDOW = 10
 #: Letters, digits and everything beyond ASCII stay (A-Z lower-cased); the rest separates.
 _WORDS = bytes(
@@ -223,7 +225,7 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[s
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", keep_text: bool = True, shard_words: int = 500_000, block_words: int = 200_000, found: str = "_leak") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", keep_text: bool = True, shard_words: int = 250_000, block_words: int = 200_000, found: str = "_leak") -> DataFrame:
     """``docs`` with a struct column ``found``: hit word positions, items, word count, the longest match and its places."""
     spark = docs.sparkSession
     out = docs
@@ -233,7 +235,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, t
         run = _scanner(spark.sparkContext.broadcast(TestSet(items, window)), docs.columns.index(text), shard_words, first, last and not keep_text, found)
         fields = [f for f in docs.schema.fields if not (last and not keep_text and f.name == text)]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{found}` {_FOUND}"
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(frugal(run), schema)
     return out
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.llm.common import saved
+from trawlkit.llm.common import frugal, saved
 
 RUN_TOKENS = 8
 
@@ -194,7 +194,7 @@ def parsed(pages: DataFrame, key: str = "page_id") -> DataFrame:
             cols = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["key", "url", "host", "text", "is_open", "outside"])
 
-    return pages.select(key, "url", "html").mapInArrow(run, _PARSED.format(key=dict(pages.dtypes)[key]))
+    return pages.select(key, "url", "html").mapInArrow(frugal(run), _PARSED.format(key=dict(pages.dtypes)[key]))
 
 
 def _suffixes(found: DataFrame, depth: int) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.llm.common import crc_mod, hash_order
+from trawlkit.llm.common import crc_mod, frugal, hash_order
 
 BUCKETS, PER_LANG, MAX_DOCS = 4096, 500, 20_000
 UND = "und"
@@ -181,7 +181,7 @@ def training_sample(rows: DataFrame, per_lang: int = PER_LANG, max_docs: int = M
 
     picked = rows.withColumn("order", hash_order("doc_id")).join(F.broadcast(share), "lang").filter("order <= upto").select("lang", "order", "text")
     found: dict[str, list[tuple[int, bytes]]] = {}
-    for r in picked.mapInArrow(run, "lang string, order long, profile binary").toLocalIterator():
+    for r in picked.mapInArrow(frugal(run), "lang string, order long, profile binary").toLocalIterator():
         held = found.setdefault(r.lang, [])
         held.append((r.order, bytes(r.profile)))
         if len(held) >= 4 * each:
@@ -228,7 +228,7 @@ def with_language(docs: DataFrame, model: Model, *, text: str = "text", keep_tex
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], names=[*(batch.schema.names[i] for i in keep), pred, score])
 
     fields = [f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in keep]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{pred}` string", f"`{score}` double"]))
+    return docs.mapInArrow(frugal(run), ", ".join([*fields, f"`{pred}` string", f"`{score}` double"]))
 
 
 def language_report(docs: DataFrame, **options) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.llm.common import saved
+from trawlkit.llm.common import frugal, saved
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -241,7 +241,7 @@ def with_candidates(docs: DataFrame, *, text: str = "text", keep_text: bool = Fa
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array([one(t.as_py()) for t in batch.column(at)], type=_FOUND)], names=[*(batch.schema.names[i] for i in keep), name])
 
     fields = [f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in keep]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{name}` {_FOUND_SQL}"]))
+    return docs.mapInArrow(frugal(run), ", ".join([*fields, f"`{name}` {_FOUND_SQL}"]))
 
 
 def learn(found: DataFrame, *, name: str = "spans", max_patterns: int = 100_000) -> dict[str, float]:
@@ -312,4 +312,4 @@ def redacted(docs: DataFrame, *, text: str = "text", least: float = 0.5) -> Data
                 cols[size_at] = pc.if_else(pc.equal(b.column(at), new), old, pc.utf8_length(new).cast(old.type))
             yield pa.RecordBatch.from_arrays([cols.get(i, b.column(i)) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
 
-    return kept.mapInArrow(run, docs.schema)
+    return kept.mapInArrow(frugal(run), docs.schema)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.llm.common import ASCII_LOWER, blocked, group_edges, saved
+from trawlkit.llm.common import ASCII_LOWER, blocked, frugal, group_edges, saved
 from trawlkit.llm.components import components, spanning_forest
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -63,7 +63,7 @@ def with_fingerprint(docs: DataFrame, *, text: str = "text", name: str = "fp", s
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(found)], names=[*(batch.schema.names[i] for i in keep), name])
 
     schema = ", ".join(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in keep)
-    return docs.mapInArrow(run, f"{schema + ', ' if schema else ''}`{name}` long")
+    return docs.mapInArrow(frugal(run), f"{schema + ', ' if schema else ''}`{name}` long")
 
 
 def bounds(m: int) -> list[int]:

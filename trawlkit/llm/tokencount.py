@@ -30,6 +30,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from trawlkit.llm.common import frugal
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _BYTE_SCORE = -20.0
@@ -146,4 +148,4 @@ def token_counts(docs: DataFrame, *, vocabulary: str = VOCABULARY, text: str = "
             found = [counter.count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in found], type=pa.int64()), pa.array([n for n, _ in found], type=pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_pretokens long, n_tokens long")
+    return docs.select("doc_id", text).mapInArrow(frugal(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_pretokens long, n_tokens long")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.llm.common import crc_mod, hash_order
+from trawlkit.llm.common import crc_mod, frugal, hash_order
 
 MAX_TOXIC, MAX_CLEAN = 2_000, 6_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -190,7 +190,7 @@ def with_toxicity(docs: DataFrame, model: Model, *, text: str = "text", keep_tex
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *out], names=[*(batch.schema.names[i] for i in keep), score, spans])
 
     fields = [f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in keep]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{score}` double", f"`{spans}` array<struct<start:int,end:int,chance:double>>"]))
+    return docs.mapInArrow(frugal(run), ", ".join([*fields, f"`{score}` double", f"`{spans}` array<struct<start:int,end:int,chance:double>>"]))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

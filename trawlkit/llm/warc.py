@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlkit.llm.common import scratch_path
+from trawlkit.llm.common import frugal, scratch_path
 
 SEGMENT_BYTES, CHUNK_BYTES, LEAST_BYTES, FILE_RECORDS = 1 << 15, 1 << 12, 100, 20_000
 _END = b"\r\n\r\n"
@@ -172,7 +172,7 @@ def write_archive(pages: DataFrame, path: str, *, key: str = "page_id", url: str
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.string())], names=["value"])
 
-    dealt.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    dealt.mapInArrow(frugal(run), "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
 _READ = "origin string, key string, uri string, kind string, refers string, digest string, length long, number int, total long, block binary, payload_bytes long, payload_digest string"
@@ -244,7 +244,7 @@ def read_archive(spark: SparkSession, path: str, keep_payload: bool = False) ->
                 payloads.append(payload if keep_payload else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sizes, type=pa.int64()), pa.array(digests, type=pa.string()), pa.array(payloads, type=pa.binary())], names=[*names[:7], "payload"])
 
-    out = grouped.select(*names).mapInArrow(run, "key string, uri string, kind string, refers string, digest string, payload_bytes long, payload_digest string, payload binary")
+    out = grouped.select(*names).mapInArrow(frugal(run), "key string, uri string, kind string, refers string, digest string, payload_bytes long, payload_digest string, payload binary")
     out = out.withColumn("valid", F.col("payload_digest").isNotNull() & F.col("payload_digest").eqNullSafe(F.col("digest")) & F.col("kind").isNotNull())
     return out if keep_payload else out.drop("payload")
 
