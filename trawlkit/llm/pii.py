@@ -118,7 +118,7 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[int, ...]:
     if kind == "email":
         pattern = 1 if _DOMAIN.search(span) and "@" in span else 2
         gazetteer = 1 if _MAIL_HOSTS.search(span) else 2
-        shape = 1 if "." in span else 0
+        shape = 1 if "." in span or "dot" in span.lower() else 0
     elif kind == "ip":
         pattern, gazetteer = 1, 0 if span in ("127.0.0.1", "0.0.0.0", "255.255.255.255") else 2
         shape = 0 if digits == span.replace(".", "")[:4] else 1
