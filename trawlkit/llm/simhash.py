@@ -8,6 +8,11 @@ segment of such a chain is equal, so rows are dealt out by (start, first
 segment); inside a group the chain is grown segment by segment, each step
 pruning pairs, and the survivors' full distance is checked.
 
+For deduplication by similarity (:func:`keep_one`), candidates within seven bits
+of two-word fingerprints are verified by a sketch: a SimHash of 512 bits over
+five-word shingles, whose differing bits tell the cosine and so the Jaccard
+similarity, within a few hundredths.
+
 Equal fingerprints meet once, as one row with the smallest ``doc_id``. A group
 of more than ``group_rows`` fingerprints is split into blocks, and pairs of
 blocks go to different tasks; no pair is dropped. Linked pairs never leave a
@@ -21,6 +26,7 @@ unless all are null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -34,36 +40,64 @@ from trawlkit.llm.common import ASCII_LOWER, blocked, frugal, group_edges, saved
 from trawlkit.llm.components import components, spanning_forest
 
 SHINGLE, BITS, SEED = 3, 3, 42
+#: For deduplication by similarity: candidates by two-word shingles, verified by a long sketch of five-word ones.
+SIMILARITY, SKETCH_SHINGLE, SKETCH_WORDS, CANDIDATE_SHINGLE, CANDIDATE_BITS = 0.8, 5, 8, 2, 7
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned 64-bit SimHash over word shingles, repeats counted; 0 for a text without words."""
+def _ones(text: str | None, shingle: int, seed: int, words: int) -> tuple[np.ndarray, int]:
+    """How often each of 64 * ``words`` bits is set over the text's shingles, and the number of shingles.
+
+    The first 64 bits are XXH64's; further ones are remixed from it.
+    """
     w = text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []
+    ones = np.zeros((words, 64), dtype=np.int64)
     if not w:
-        return 0
+        return ones, 0
     n = max(1, len(w) - shingle + 1)
-    ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, _CHUNK):
         upto = min(n, at + _CHUNK)
         rows = zip(*(w[at + k : upto + k] for k in range(shingle))) if len(w) >= shingle else [w]
         h = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, rows), repeat(seed)), dtype="<u8", count=upto - at)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        for j in range(words):
+            ones[j] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+            if j < words - 1:
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
+    return ones, n
 
 
-def with_fingerprint(docs: DataFrame, *, text: str = "text", name: str = "fp", shingle: int = SHINGLE, keep_text: bool = False) -> DataFrame:
-    """``docs`` with the fingerprint as a signed long; ``text`` goes unless ``keep_text``."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned 64-bit SimHash over word shingles, repeats counted; 0 for a text without words."""
+    ones, n = _ones(text, shingle, seed, 1)
+    return int(np.packbits(2 * ones[0] > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def sketch(text: str | None, shingle: int = SKETCH_SHINGLE, seed: int = SEED) -> bytes:
+    """A SimHash of ``SKETCH_WORDS`` 64-bit words, long enough to tell how alike two texts are."""
+    ones, n = _ones(text, shingle, seed, SKETCH_WORDS)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").tobytes() if n else bytes(8 * SKETCH_WORDS)
+
+
+def sketch_limit(similarity: float) -> int:
+    """Bits in which the sketches of texts of this Jaccard similarity differ, and one standard error."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * SKETCH_WORDS * p + math.sqrt(64 * SKETCH_WORDS * p * (1 - p)))
+
+
+def with_fingerprint(docs: DataFrame, *, text: str = "text", name: str = "fp", shingle: int = SHINGLE, keep_text: bool = False, sketch_name: str | None = None) -> DataFrame:
+    """``docs`` with the fingerprint as a signed long, and a sketch if named; ``text`` goes unless ``keep_text``."""
     at = docs.columns.index(text)
     keep = [i for i in range(len(docs.columns)) if keep_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(at)), dtype=np.uint64, count=batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(found)], names=[*(batch.schema.names[i] for i in keep), name])
+            more = [pa.array([sketch(t.as_py()) for t in batch.column(at)], type=pa.binary())] if sketch_name else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(found), *more], names=[*(batch.schema.names[i] for i in keep), name, *([sketch_name] if sketch_name else [])])
 
     schema = ", ".join(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in keep)
-    return docs.mapInArrow(frugal(run), f"{schema + ', ' if schema else ''}`{name}` long")
+    return docs.mapInArrow(frugal(run), f"{schema + ', ' if schema else ''}`{name}` long" + (f", `{sketch_name}` binary" if sketch_name else ""))
 
 
 def bounds(m: int) -> list[int]:
@@ -88,12 +122,12 @@ def ring_pairs(x: np.ndarray, y: np.ndarray, start: np.ndarray, bits: int, m: in
     return left[np.bitwise_count(diff[left]) <= bits]
 
 
-def _joiner(bits: int, m: int):
+def _joiner(bits: int, m: int, limit: int | None):
     masks = chain_masks(m)
 
     def links(cols: list[np.ndarray]) -> pa.RecordBatch | None:
         """Links within the sorted groups of ``cols``; pairs are met by their distance in the order."""
-        start, _, bx, by, own, fp = cols
+        start, _, bx, by, own, node, fp, *long = cols
         fp, start = fp.view(np.uint64), start.astype(np.int64)
         group = np.cumsum(group_edges(cols[:4]))
         cross = bx != by
@@ -106,9 +140,11 @@ def _joiner(bits: int, m: int):
                 break
             at = at[~cross[at] | (own[at] != own[at + gap])]
             near = at[ring_pairs(fp[at], fp[at + gap], start[at], bits, m, masks)]
+            if limit is not None and len(near):
+                near = near[np.bitwise_count(long[0][near] ^ long[0][near + gap]).sum(1) <= limit]
             if len(near):
-                a.append(fp[near].view(np.int64))
-                b.append(fp[near + gap].view(np.int64))
+                a.append(node[near])
+                b.append(node[near + gap])
                 held += len(near)
             if held > 1_000_000:
                 x, y = spanning_forest(np.concatenate(a), np.concatenate(b))
@@ -121,39 +157,49 @@ def _joiner(bits: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(6)]
+            cols = [np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(7)]
+            if limit is not None:
+                cols.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype="<u8").reshape(batch.num_rows, SKETCH_WORDS))
             if rest:
                 cols = [np.concatenate(z) for z in zip(rest, cols)]
-            full = int(np.flatnonzero(group_edges(cols[:4]))[-1])  # the last group may go on in the next batch
+            full = int(np.flatnonzero(group_edges(cols[:4]))[-1]) if len(cols[0]) else 0  # the last group may go on in the next batch
             rest = [c[full:] for c in cols]
             if full and (found := links([c[:full] for c in cols])) is not None:
                 yield found
-        if rest and (found := links(rest)) is not None:
+        if rest and len(rest[0]) and (found := links(rest)) is not None:
             yield found
 
     return run
 
 
-def near_links(prints: DataFrame, *, bits: int = BITS, segments: int | None = None, group_rows: int = 20_000) -> DataFrame:
-    """Forest links (a, b) among the distinct fingerprints in column ``fp`` that differ in at most ``bits`` bits."""
+def near_links(prints: DataFrame, *, bits: int = BITS, segments: int | None = None, similarity: float | None = None, group_rows: int = 20_000) -> DataFrame:
+    """Forest links (a, b) among the rows of ``prints`` (node, fp) whose fingerprints differ in at most ``bits`` bits.
+
+    With ``similarity``, column ``sketch`` verifies the pairs: only those at
+    least as alike are linked.
+    """
     m = segments or bits + 1
     if bits >= m:
         raise ValueError("segments must be more than bits, so that a chain starts with an equal segment")
     cut = bounds(m)
+    own = ["node", "fp", *(["sketch"] if similarity is not None else [])]
     segs = [F.struct(F.lit(i).alias("start"), F.shiftrightunsigned("fp", cut[i]).bitwiseAND(F.lit((1 << (cut[i + 1] - cut[i])) - 1)).alias("seg")) for i in range(m)]
-    keys = prints.select("fp", F.explode(F.array(*segs)).alias("k")).select("k.start", "k.seg", "fp")
+    keys = prints.select(*own, F.explode(F.array(*segs)).alias("k")).select("k.start", "k.seg", *own)
     place = ["start", "seg", "bx", "by"]
-    dealt = blocked(keys, ["start", "seg"], "fp", group_rows).select(*place, "own", "fp").repartition(*place).sortWithinPartitions(*place)
-    return dealt.mapInArrow(_joiner(bits, m), "a long, b long")
+    dealt = blocked(keys, ["start", "seg"], "node", group_rows).select(*place, "own", *own).repartition(*place).sortWithinPartitions(*place)
+    return dealt.mapInArrow(_joiner(bits, m, None if similarity is None else sketch_limit(similarity)), "a long, b long")
 
 
 def fingerprint_components(prints: DataFrame, **options) -> DataFrame:
-    """(fp, component_id) for every distinct ``fp`` of ``prints`` (doc_id, fp)."""
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
+    """(fp, component_id), or (fp, sketch, component_id) with ``similarity``, for every distinct print of ``prints`` (doc_id, fp, sketch)."""
+    same = ["fp", *(["sketch"] if options.get("similarity") is not None else [])]
+    distinct = prints.groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    # without a sketch the fingerprint itself names the row
+    distinct = saved(distinct.withColumn("node", F.monotonically_increasing_id() if len(same) > 1 else F.col("fp")), "prints")
     roots = components(near_links(distinct, **options))
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    member = distinct.join(roots, "node", "left").select(*same, "rep", F.coalesce("root", "node").alias("root"))
     named = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return member.join(named, "root").select("fp", "component_id")
+    return member.join(named, "root").select(*same, "component_id")
 
 
 def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, **options) -> DataFrame:
@@ -163,13 +209,19 @@ def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, **options) -> Dat
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, **options) -> DataFrame:
-    """``docs`` with one document of each component: the smallest ``doc_id``, one row of it where rows repeat."""
-    fp, row = "_fp", "_row"
-    while fp in docs.columns or row in docs.columns:
-        fp, row = fp + "_", row + "_"
-    marked = saved(with_fingerprint(docs, shingle=shingle, name=fp, keep_text=True).withColumn(row, F.monotonically_increasing_id()), "marked")
-    prints = marked.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))
-    named = fingerprint_components(prints.select("doc_id", "fp"), **options)
-    first = prints.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row").alias(row)).select(row)
+def keep_one(docs: DataFrame, *, similarity: float | None = SIMILARITY, shingle: int = CANDIDATE_SHINGLE, bits: int = CANDIDATE_BITS, **options) -> DataFrame:
+    """``docs`` with one document of each group: the smallest ``doc_id``, one row of it where rows repeat.
+
+    Groups are joined by links between texts whose five-word shingles are at
+    least ``similarity`` alike; ``similarity=None`` links by fingerprint alone.
+    """
+    fp, row, long = "_fp", "_row", "_sketch"
+    while {fp, row, long} & {*docs.columns}:
+        fp, row, long = fp + "_", row + "_", long + "_"
+    marked = with_fingerprint(docs, shingle=shingle, name=fp, keep_text=True, sketch_name=None if similarity is None else long)
+    marked = saved(marked.withColumn(row, F.monotonically_increasing_id()), "marked")
+    same = ["fp"] if similarity is None else ["fp", "sketch"]
+    prints = marked.select("doc_id", F.col(fp).alias("fp"), *([F.col(long).alias("sketch")] if similarity is not None else []), F.col(row).alias("row"))
+    named = fingerprint_components(prints.drop("row"), bits=bits, similarity=similarity, **options)
+    first = prints.join(named, same).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row").alias(row)).select(row)
     return marked.join(first, row, "left_semi").select(*docs.columns)
