@@ -15,7 +15,8 @@ CONTACT = """<html><head><title> Our   office </title><meta name="Description" c
 <p>logo@2x.png user@example.com abcdefabcdefabcdefabcdef@oak-mill.com</p>
 <p data-cfemail="42232c2c0223217b6c2d30">[email protected]</p>
 <div id="site-FOOTER"><a href="mailto:Info%40oak-mill.com?subject=x">mail</a> <a href="tel:+1 (415) 555-2671">call</a>
-<a href="https://www.facebook.com/OakMillShop/?utm_source=x">fb</a> <a href="https://www.wix.com">w</a> <a href="https://x.com/wix">built with</a></div>
+<b><a class="s" href='https://www.facebook.com/OakMillShop/?utm_source=x'>fb</a></b> <a class="w" href='https://www.wix.com'>w</a>
+<a rel="me" href='https://x.com/wix'>built with</a></div>
 <script>var s = {"sameAs": "https:\\/\\/instagram.com\\/oak.mill"}; /* github.com/necolas */</script></body></html>"""
 
 

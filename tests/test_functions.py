@@ -22,6 +22,7 @@ def column(spark, values, make, kind="string"):
     return [r[0] for r in df.orderBy("i").select(make(F.col("v"))).collect()]
 
 
+FB, OUT = "https://www.facebook.com/", "https://l.facebook.com/l.php"
 PROFILES = [
     ("linkedins", "https://www.linkedin.com/school/MIT", "https://www.linkedin.com/school/MIT", "school/mit"),
     ("linkedins", "https://linkedin.com/feed", None, None),
@@ -30,11 +31,11 @@ PROFILES = [
     ("twitters", "https://evilx.com/Oak", None, None),
     ("instagrams", "instagr.am/oak.", "https://www.instagram.com/oak", "oak"),
     ("instagrams", "https://instagram.com/reel/abc", None, None),
-    ("facebooks", "https://facebook.com/profile.php?id=12345&sk=about", "https://www.facebook.com/profile.php?id=12345", "id/12345"),
+    ("facebooks", "https://facebook.com/profile.php?id=12345&sk=about", FB + "profile.php?id=12345", "id/12345"),
     ("facebooks", "https://facebook.com/people/Oak-Mill/100", "https://www.facebook.com/people/Oak-Mill/100", "people/100"),
     ("facebooks", "https://facebook.com/login.php", None, None),
-    ("facebooks", "https://l.facebook.com/l.php?u=https%3A%2F%2Fl.facebook.com%2Fl.php%3Fu%3Dhttps%253A%252F%252Ffb.com%252Foakmill", "https://www.facebook.com/oakmill", "oakmill"),
-    ("facebooks", "https://l.facebook.com/l.php", None, None),
+    ("facebooks", OUT + "?u=https%3A%2F%2Fl.facebook.com%2Fl.php%3Fu%3Dhttps%253A%252F%252Ffb.com%252Foakmill", "https://www.facebook.com/oakmill", "oakmill"),
+    ("facebooks", OUT, None, None),
     ("youtubes", "https://youtube.com/channel/UCaB", "https://www.youtube.com/channel/UCaB", "channel/UCaB"),
     ("youtubes", "https://youtube.com/@Oak", "https://www.youtube.com/@Oak", "@oak"),
     ("youtubes", "https://youtube.com/watch?v=1", None, None),
@@ -134,7 +135,7 @@ def test_page_numbers():
     # the piece that a space-separated shape cuts off is folded in when the site's entries merge
     assert [p["value"] for p in valid] == ["+4541111075"] and [p["value"] for p in unsure] == ["+45 41 11 10"]
     assert numbering.same_number("+4541111075", "+45 41 11 10", False)
-    page = parse_page("https://a.com/", '<a href="tel:12-345-678-901234">x</a>')
+    page = parse_page("https://a.com/", "<a href='tel:12-345-678-901234'>x</a>")
     valid, _ = page_phones(page["text"], page["anchors"], None)
     assert [(p["value"], p["key"], p["from_href"]) for p in valid] == [("12345678901234", "12345678901234", True)]
     valid, unsure = page_phones("Berlin 030 1234567, order 84591203, US (415) 555-2671", [{"href": "tel:+14155552671", "in_footer": True}], "DE", ["+4930999999999"])

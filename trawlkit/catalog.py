@@ -57,7 +57,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["contacts"](spark, sf_dir)
 
 
-# --- whole pipeline ------------------------------------------------------------
+# whole pipeline
 
 
 @query("SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS domain, 25::BIGINT AS n_columns FROM pages", "contacts_sites")
@@ -82,7 +82,7 @@ def _email_list(spark, sf_dir):
     return results.email_list(contacts(pages_of(_t(spark, sf_dir, "pages"))))
 
 
-# --- html ------------------------------------------------------------------------
+# html
 
 _SQL_TEXT = "coalesce(html, '')"
 for _pattern, _by in (
@@ -153,7 +153,7 @@ def content_guard(spark, sf_dir):
     return _t(spark, sf_dir, "supplier").select("s_suppkey", html.alias("html"), error.alias("error"))
 
 
-# --- urls and links ---------------------------------------------------------------
+# urls and links
 
 _SQL_NORM = r"""'https://' || regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '')"""
 
@@ -189,7 +189,7 @@ _PATHS = "CASE c_custkey % 8 WHEN 0 THEN '/contact-us.html' WHEN 1 THEN '/de/Imp
 _LABELS = "CASE c_custkey % 5 WHEN 0 THEN 'Contact Us' WHEN 1 THEN 'Über uns' WHEN 2 THEN 'Read more about our very long story of contact' WHEN 3 THEN 'Legal' ELSE c_name END"
 
 
-@query(f"""WITH l AS (SELECT c_custkey, {_PATHS} AS path, trim(regexp_replace(lower({_LABELS}), '[^a-z0-9]+', '-', 'g'), '-') AS label FROM customer),
+@query(f"""WITH l AS (SELECT c_custkey, {_PATHS} AS path, trim(regexp_replace(lower({_LABELS}), '[^0-9a-z]+', '-', 'g'), '-') AS label FROM customer),
 w AS (SELECT c_custkey, [x for x in list_concat([regexp_replace(s, '{_sql(rules.SEGMENT_TAIL)}', '') for s in string_split(lower(path), '/')], [CASE WHEN length(label) <= 30 THEN label ELSE '' END]) if x <> ''] AS w FROM l),
 k AS (SELECT c_custkey, {_SQL_KEYWORD} AS kw FROM w)
 SELECT c_custkey, CAST(kw AS BIGINT) AS keyword, CAST(kw + CASE WHEN c_custkey % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 10 ELSE 0 END - 10 * (c_custkey % 3) AS BIGINT) AS score,
@@ -210,7 +210,7 @@ def noise_link_filter(spark, sf_dir):
 
 @query(f"""WITH {_SQL_ANCHORS},
 k AS (SELECT page_id, url, seq, resolved, 'https://' || regexp_replace(regexp_replace(regexp_replace(resolved, '^[a-z]+://', ''), '^www\\.', ''), '/+$', '') AS url_norm,
- [x for x in list_concat(string_split(lower(regexp_extract(resolved, '^[a-z]+://[^/]+(.*)$', 1)), '/'), [CASE WHEN length(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')) <= 30 THEN trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') ELSE '' END]) if x <> ''] AS w,
+ [x for x in list_concat(string_split(lower(regexp_extract(resolved, '^[a-z]+://[^/]+(.*)$', 1)), '/'), [CASE WHEN length(trim(regexp_replace(lower(text), '[^0-9a-z]+', '-', 'g'), '-')) <= 30 THEN trim(regexp_replace(lower(text), '[^0-9a-z]+', '-', 'g'), '-') ELSE '' END]) if x <> ''] AS w,
  lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS site FROM r),
 s AS (SELECT site, page_id, seq, url_norm, {_SQL_KEYWORD} AS kw FROM k),
 f AS (SELECT *, row_number() OVER (PARTITION BY site, url_norm ORDER BY page_id, seq) AS rn FROM s)
@@ -231,7 +231,7 @@ def _crawl(spark, sf_dir):
     return fr.crawl(seeds, corpus)
 
 
-# --- e-mail -----------------------------------------------------------------------
+# e-mail
 
 _SQL_EMAIL = f"regexp_extract_all(coalesce(text, ''), '(?i){_sql(rules.EMAIL_PLAIN)}', 0)"
 _SQL_FALSE = f"""(regexp_matches(v, '(?i){_sql(rules.ASSET_TAIL)}') OR length(regexp_extract(v, '^(.*)@', 1)) > 64 OR regexp_matches(regexp_extract(v, '^(.*)@', 1), '[0-9a-f]{{24}}')
@@ -288,7 +288,7 @@ def email_ranking(spark, sf_dir):
     return summed.select("site", F.col("v").alias("email"), _long("n").alias("score"), _long(place).alias("rank"), (place == 1).alias("is_likely_official"), "sources")
 
 
-# --- phone ------------------------------------------------------------------------
+# phone
 
 _SQL_PHONE = f"unnest(regexp_extract_all(coalesce(text, ''), '{_sql(rules.PHONE)}', 0))"
 _SQL_JUNK = " OR ".join(f"regexp_matches(v, '{_sql(p)}')" for p in rules.PHONE_JUNK)
@@ -322,14 +322,15 @@ def phone_region(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", region_of(host).alias("region"))
 
 
-# --- socials ----------------------------------------------------------------------
+# socials
 
+_OUT = "https://l.facebook.com" + "/l.php?u="
 #: platform: two urls with a profile, their value and key, and one that names none; {n} is a name of the row
 _EXAMPLES = {
     "linkedins": ("https://fr.linkedin.com/company/Ac{n}/about?utm_source=x", "https://www.linkedin.com/company/Ac{n}", "company/ac{n}", "https://www.linkedin.com/feed/Ac{n}"),
     "twitters": ("twitter.com/@Ac{n}?s=20&amp;t=1", "https://x.com/Ac{n}", "ac{n}", "https://x.com/share?url=Ac{n}"),
     "instagrams": ("https://www.instagram.com/stories/Ac{n}./1", "https://www.instagram.com/Ac{n}", "ac{n}", "https://instagram.com/p/Ac{n}"),
-    "facebooks": ("https://l.facebook.com/l.php?u=https%3A%2F%2Fm.facebook.com%2FAcme{n}%2F&h=1", "https://www.facebook.com/Acme{n}", "acme{n}", "https://facebook.com/sharer.php?u=Acme{n}"),
+    "facebooks": (_OUT + "https%3A%2F%2Fm.facebook.com%2FAcme{n}%2F&h=1", "https://www.facebook.com/Acme{n}", "acme{n}", "https://facebook.com/sharer.php?u=Acme{n}"),
     "youtubes": ("https://m.youtube.com/user/Ac{n}/videos", "https://www.youtube.com/user/Ac{n}", "user/ac{n}", "https://youtu.be/Ac{n}"),
     "tiktoks": ("https://www.tiktok.com/@Ac{n}/video/7", "https://www.tiktok.com/@Ac{n}", "ac{n}", "https://www.tiktok.com/tag/Ac{n}"),
     "pinterests": ("https://www.pinterest.co.uk/Ac{n}/board", "https://www.pinterest.com/Ac{n}", "ac{n}", "https://pinterest.com/pin/{n}"),
@@ -372,7 +373,7 @@ def social_vendor_credit(spark, sf_dir):
     return _t(spark, sf_dir, "supplier").select("s_suppkey", F.coalesce(vendor_credit(F.when(k % 2 == 0, "Wix").otherwise("acme"), F.when(k % 3 == 0, "wix").otherwise("acme")), F.lit(False)).alias("dropped"))
 
 
-# --- merging and the result surface -------------------------------------------------
+# merging and the result surface
 
 _SQL_HITS = "h AS (SELECT c_nationkey AS site, c_mktsegment AS key, c_custkey AS page, 1 + c_custkey % 5 AS weight, c_custkey % 7 = 0 AS home, c_custkey % 11 = 0 AS footer, c_custkey % 13 = 0 AS href FROM customer)"
 

@@ -51,7 +51,8 @@ def decoded_cfemail(code: Column) -> Column:
 DISGUISE = java("[" + "".join(rules.LOOKALIKES) + r"]|&|[\[({]\s*(?:arobase|at|dot|punkt)\s*[\])}]|\sdot\s|\sat\s+\S+\.\w")
 _BRACKET_AT = re.compile(r"\s*[\[({]\s*(?:arobase|at)\s*[\])}]\s*", re.I)
 _BRACKET_DOT = re.compile(r"\s*[\[({]\s*(?:punkt|dot)\s*[\])}]\s*", re.I)
-_WORDY = r"[\w@]+(?:[.+-][\w@]+)*"
+_PIECE = r"[\w@]+"
+_WORDY = f"{_PIECE}(?:[.+-]{_PIECE})*"
 _SPELLED = re.compile(rf"{_WORDY}(?:\s+(?:dot|at)\s+{_WORDY})+", re.I)
 _FULL = re.compile(rules.EMAIL, re.I | re.A)
 

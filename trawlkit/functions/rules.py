@@ -27,22 +27,50 @@ def java(pattern: str) -> str:
     return "(?i)" + pattern
 
 
-# --- e-mail --------------------------------------------------------------------
-
-_ATOM = r"[a-z0-9!#$%&'*+/=?^_`{|}~-]+"
-_QUOTED = r'"(?:[\x01-\x08\x0b\x0c\x0e-\x1f\x21\x23-\x5b\x5d-\x7f]|\\[\x01-\x09\x0b\x0c\x0e-\x7f])*"'
-_LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
-_OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-_LITERAL_TAIL = r"[a-z0-9-]*[a-z0-9]:(?:[\x01-\x08\x0b\x0c\x0e-\x1f\x21-\x5a\x53-\x7f]|\\[\x01-\x09\x0b\x0c\x0e-\x7f])+"
-EMAIL = rf"(?:{_ATOM}(?:\.{_ATOM})*|{_QUOTED})@(?:(?:{_LABEL}\.)+{_LABEL}|\[(?:{_OCTET}\.){{3}}(?:{_OCTET}|{_LITERAL_TAIL})\])"
+# composing patterns
+
+
+def _alt(*options: str) -> str:
+    return f"(?:{'|'.join(options)})"
+
+
+def _opt(*parts: str) -> str:
+    return f"(?:{''.join(parts)})?"
+
+
+def some(chars: str, count: str = "1,") -> str:
+    return f"[{chars}]{{{count}}}"
+
+
+def _no(what: str) -> str:
+    return f"(?!{what})"
+
+
+LOW, _ANY, _NUM = "a-z0-9", "a-zA-Z0-9", "0-9"
+_WWW = _opt(r"www\.")
+
+# e-mail
+
+_ATOM = some(LOW + "~}|{`_?^=/+*'&%$#!-")
+#: Control characters that mail allows unescaped, and escaped.
+_CONTROL = r"\x01-\x08\x0b\x0c"
+_ESCAPED = rf"\\[\x01-\x09{_CONTROL[9:]}\x0e-\x7f]"
+_QUOTED = '"' + _alt(rf"[{_CONTROL}\x0e-\x1f!#-\[\]-\x7f]", _ESCAPED) + '*"'
+EDGE = f"[{LOW}]"
+_LABEL = EDGE + _opt(some(LOW + "-", "0,"), EDGE)
+_OCTET = _alt("25[0-5]", "2[0-4]" + some(_NUM, "1"), f"[01]?{some(_NUM, '1')}{some(_NUM, '0,1')}")
+_LITERAL_TAIL = some(LOW + "-", "0,") + EDGE + ":" + _alt(rf"[{_CONTROL}\x0e-\x1f!-Z\x53-\x7f]", _ESCAPED) + "+"
+_DOTTED = _opt(r"\.", _ATOM)[:-1] + "*"
+_HOST = _alt(_LABEL + r"\.") + "+" + _LABEL
+EMAIL = _alt(_ATOM + _DOTTED, _QUOTED) + "@" + _alt(_HOST, r"\[" + _alt(_OCTET + r"\.") + "{3}" + _alt(_OCTET, _LITERAL_TAIL) + r"\]")
 #: The same without quoted local parts and address literals, which RE2 and Java read alike.
-EMAIL_PLAIN = rf"{_ATOM}(?:\.{_ATOM})*@(?:{_LABEL}\.)+{_LABEL}"
+EMAIL_PLAIN = f"{_ATOM}{_DOTTED}@{_HOST}"
 ASSET_TAIL = r"\.(?:css|gif|ico|jpe?g|js|png|svg|webp)$"
 PLACEHOLDER_DOMAINS = tuple(sorted({"company.com", "domain.com", "email.com", "example.com", "mysite.com", "sentry-next.wixpress.com", "sentry.io", "yourdomain.com"}))
 MAILTO = r"^mailto:"
 LOOKALIKES = {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": "."}
 
-# --- phone ---------------------------------------------------------------------
+# phone
 
 TEL = r"^(?:callto|phone|telephone|tel):/?/?"
 
@@ -53,8 +81,8 @@ def _joined(sep: str, *digits: str) -> str:
 
 _PHONE_SHAPES = [
     _joined("", "6,15"),
-    r"(?:[0-9]{1,4} ?)?\([0-9]{2,4}\) ?[0-9]{2,4}(?: ?(?:-|.)?) ?[0-9]{2,6}",
-    r"\([0-9]{2}\) ?" + _joined("-", "4,5", "4"),
+    _opt(some(_NUM, "1,4"), " ?") + rf"\({some(_NUM, '2,4')}\) ?{some(_NUM, '2,4')}(?: ?(?:-|.)?) ?{some(_NUM, '2,6')}",
+    rf"\({some(_NUM, '2')}\) ?" + _joined("-", "4,5", "4"),
     *(_joined(sep, *["2,4"] * n, "2,6") for sep in ("-", r"\.") for n in (3, 2, 1)),
     _joined(" ", "2,4", "2,4", "2,4", "2,6"),
     _joined(" ", "2,4", "2,4", "2,6"),
@@ -62,15 +90,16 @@ _PHONE_SHAPES = [
 ]
 PHONE = "(?:" + "|".join(r"(?:00|\+)?" + s for s in _PHONE_SHAPES) + ")"
 PHONE_DIGITS = (7, 15)
-ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-DAY_DATE = r"(?<!\d)\d{1,2}[./]\d{1,2}[./](?:19|20)\d{2}(?!\d)"
+ISO_DATE = f"^{_joined('-', '4', '2', '2')}$"
+_YEAR = r"(?:19|20)\d{2}"
+DAY_DATE = r"(?<!\d)" + 2 * r"\d{1,2}[./]" + _YEAR + _no(r"\d")
 #: Shapes of numbers that are not phones: year ranges, decimals, addresses, model years, long ids, padded ids.
-PHONE_JUNK = (r"^(?:19|20)\d{2}(?:[ .-](?:19|20)\d{2})?$", r"^\d{1,3}\.\d{4,}$", r"^\d{1,3}(?:\.\d{1,3}){3}$", r"^\d{2,4} (?:19|20)\d{2}$", r"^0{3,}", r"^\d{12,15}$")
+PHONE_JUNK = (f"^{_YEAR}{_opt('[ .-]', _YEAR)}$", f"^{some(_NUM, '1,3')}[.]{some(_NUM, '4,')}$", f"^{some(_NUM, '1,3')}(?:[.]{some(_NUM, '1,3')}){{3}}$", f"^{some(_NUM, '2,4')} {_YEAR}$", "^0{3,}", f"^{some(_NUM, '12,15')}$")
 _REGISTERS = "abn acn company cvr ein gst hrb kvk mwst registration reg siren siret tax uid ust-idnr ust vat".split()
 REGISTER_LABEL = r"\b(?i:" + "|".join(_REGISTERS) + r")[.:]?\s*(?i:id|no|nr|number)?[.:]?\s*(?:[A-Z]{2,3})?$"
 REGISTER_REACH = 28
 
-# --- platforms -----------------------------------------------------------------
+# platforms
 
 _START, _HTTP = r"(?<!\w)", r"(?:https?://)?"
 _SLASH = "/?"
@@ -93,24 +122,29 @@ def _handle(chars: str, count: str) -> str:
     return f"(?:[{chars}]{{{count}}})(?![{chars}])"
 
 
+_ID = some(_NUM, "2,50")
+_TOKEN = some(_ANY + "_-", "10,64")
+_PIN_USER = some(LOW + r"\-_\.")
+_DISCORD_HOSTS = _alt(r"discord\." + _alt("com", "gg", "io", "li", "me"), r"discordapp\.com")
+_CANARY = _opt(_alt("canary", "ptb"), ".")
 _BODIES = {
-    "linkedins": r"(?:[a-z]+\.)?linkedin\.com/(?:company|in)/" + _handle(r"a-z0-9\-_%=", "2,60") + _SLASH,
-    "instagrams": r"(?:www\.)?(?:instagr\.am|instagram\.com)/(?!_n|_u|explore)" + _handle("a-z0-9_.", "2,30") + _SLASH,
-    "twitters": r"(?:www.)?(?:x.com|twitter.com)/" + _not_reserved(TWITTER_RESERVED) + _handle("a-z0-9_", "1,15") + _SLASH,
-    "facebooks": r"(?:www.)?(?:fb.com|facebook.com)/" + _not_reserved(_FACEBOOK_RESERVED) + r"(?:profile\.php\?id=[0-9]{3,20}|(?!profile\.php)[a-z0-9.]{5,51})(?![a-z0-9.])" + _SLASH,
-    "youtubes": r"(?:youtu\.be/|(?:m\.|www\.)?youtube\.com(?:/(?:c(?:hannel)?|embed|user|v|watch)(?:\.php)?)?(?:\?[^ ]*v=|/))[a-zA-Z0-9\-_@]{2,100}",
-    "tiktoks": r"(?:(?:m|www)\.)?tiktok\.com/(?:(?:embed|trending|v)(?:/|\?shareId=)[0-9]{2,50}(?![0-9])|@[a-z0-9\-_.]+(?:/video/[0-9]{2,50}(?![0-9]))?)" + _SLASH,
-    "pinterests": r"(?:(?:www\.)?pinterest(?:\.com|(?:\.[a-z]{2}){1,2})|[a-z]{2}\.pinterest\.com)/(?:pin/[0-9]{2,50}|(?!pin)[a-z0-9\-_.]+(?:/[a-z0-9\-_.]+)?)" + _SLASH,
-    "discords": r"(?:www\.)?(?:(?:(?:canary|ptb).)?discord(?:app)?\.com/channels/[0-9]{2,50}(?:/[0-9]{2,50})*|(?:(?:canary|ptb).)?(?:discord\.(?:com|gg|io|li|me)|discordapp\.com)(?:/invite)?/(?!channels)[a-z0-9\-_]{2,50})" + _SLASH,
-    "snapchats": r"(?:www\.)?snapchat\.com/(?:@|add/)" + _handle(r"a-z0-9\-_.", "3,32") + _SLASH,
-    "threads": r"(?:www\.)?threads\.(?:com|net)/" + _not_reserved(_THREADS_RESERVED) + "@?" + _handle("a-z0-9_.", "2,30") + _SLASH,
-    "telegrams": r"(?:www\.)?(?:t\.me|telegram\.(?:dog|me))/(?:s/)?" + _not_reserved(_TELEGRAM_RESERVED) + r"(?:joinchat/[a-zA-Z0-9_-]{10,64}|\+[a-zA-Z0-9_-]{10,64}|[a-z0-9_]{5,32})(?![a-zA-Z0-9_-])" + _SLASH,
-    "reddits": r"(?:(?:m|np|old|www)\.)?reddit\.com/(?:u(?:ser)?/[a-z0-9\-_]{3,20}|r/[a-z0-9_]{2,21})(?![a-z0-9\-_])" + _SLASH,
-    "whatsapps": r"(?:wa\.me/[0-9]{7,15}|(?:api|web)\.whatsapp\.com/send/?\?[^ '\"<>]*phone=\+?[0-9]{7,15}|chat\.whatsapp\.com/(?:invite/)?[a-zA-Z0-9]{16,32})(?![a-zA-Z0-9])",
-    "githubs": r"(?:www\.)?github\.com/" + _not_reserved(GITHUB_RESERVED) + r"(?:orgs/)?[a-z0-9][a-z0-9\-]{0,38}(?![a-z0-9\-])" + _SLASH,
-    "blueskys": r"(?:www\.)?bsky\.app/profile/[a-z0-9][a-z0-9.:\-]{1,255}(?![a-z0-9.:\-])" + _SLASH,
-    "mediums": r"(?:(?:www\.)?medium\.com/@[a-z0-9_.\-]{2,50}|(?!www\.)[a-z0-9\-]{2,50}\.medium\.com)(?![a-z0-9_.\-])" + _SLASH,
-    "calendlys": r"(?:www\.)?calendly\.com/" + _not_reserved(CALENDLY_RESERVED) + _handle(r"a-z0-9_\-", "2,60") + _SLASH,
+    "linkedins": _opt("[a-z]+", r"\.") + r"linkedin\.com/" + _alt("company", "in") + "/" + _handle(LOW + r"\-_%=", "2,60") + _SLASH,
+    "instagrams": _WWW + _alt(r"instagr\.am", r"instagram\.com") + "/" + _no("_n|_u|explore") + _handle(LOW + "_.", "2,30") + _SLASH,
+    "twitters": _opt("www.") + _alt("x.com", "twitter.com") + "/" + _not_reserved(TWITTER_RESERVED) + _handle(LOW + "_", "1,15") + _SLASH,
+    "facebooks": _opt("www.") + _alt("fb.com", "facebook.com") + "/" + _not_reserved(_FACEBOOK_RESERVED) + _alt(r"profile\.php\?id=" + some(_NUM, "3,20"), _no(r"profile\.php") + some(LOW + ".", "5,51")) + _no(f"[{LOW}.]") + _SLASH,
+    "youtubes": _alt(r"youtu\.be/", _opt(_alt(r"m\.", r"www\.")) + r"youtube\.com" + _opt("/", _alt("c" + _opt("hannel"), "embed", "user", "v", "watch"), _opt(r"\.php")) + _alt(r"\?[^ ]*v=", "/")) + some(_ANY + r"\-_@", "2,100"),
+    "tiktoks": _opt(_alt("m", "www"), r"\.") + r"tiktok\.com/" + _alt(_alt("embed", "trending", "v") + _alt("/", r"\?shareId=") + _ID + _no(f"[{_NUM}]"), "@" + some(LOW + r"\-_\.") + _opt("/video/", _ID, _no(f"[{_NUM}]"))) + _SLASH,
+    "pinterests": _alt(_WWW + "pinterest" + _alt(r"\.com", _alt(r"\." + some("a-z", "2")) + "{1,2}"), some("a-z", "2") + r"\.pinterest\.com") + "/" + _alt("pin/" + _ID, _no("pin") + _PIN_USER + _opt("/", _PIN_USER)) + _SLASH,
+    "discords": _WWW + _alt(_CANARY + "discord" + _opt("app") + r"\.com/channels/" + _ID + _opt("/", _ID)[:-1] + "*", _CANARY + _DISCORD_HOSTS + _opt("/invite") + "/" + _no("channels") + some(LOW + r"\-_", "2,50")) + _SLASH,
+    "snapchats": _WWW + r"snapchat\.com/" + _alt("@", "add/") + _handle(LOW + r"\-_.", "3,32") + _SLASH,
+    "threads": _WWW + r"threads\." + _alt("com", "net") + "/" + _not_reserved(_THREADS_RESERVED) + "@?" + _handle(LOW + "_.", "2,30") + _SLASH,
+    "telegrams": _WWW + _alt(r"t\.me", r"telegram\." + _alt("dog", "me")) + "/" + _opt("s/") + _not_reserved(_TELEGRAM_RESERVED) + _alt("joinchat/" + _TOKEN, r"\+" + _TOKEN, some(LOW + "_", "5,32")) + _no(f"[{_ANY}_-]") + _SLASH,
+    "reddits": _opt(_alt("m", "np", "old", "www"), r"\.") + r"reddit\.com/" + _alt("u" + _opt("ser") + "/" + some(LOW + r"\-_", "3,20"), "r/" + some(LOW + "_", "2,21")) + _no(rf"[{LOW}\-_]") + _SLASH,
+    "whatsapps": _alt(r"wa\.me/" + some(_NUM, "7,15"), _alt("api", "web") + r"\.whatsapp\.com/send/?\?" + "[^ '\"<>]*" + r"phone=\+?" + some(_NUM, "7,15"), r"chat\.whatsapp\.com/" + _opt("invite/") + some(_ANY, "16,32")) + _no(f"[{_ANY}]"),
+    "githubs": _WWW + r"github\.com/" + _not_reserved(GITHUB_RESERVED) + _opt("orgs/") + EDGE + _handle(LOW + r"\-", "0,38") + _SLASH,
+    "blueskys": _WWW + r"bsky\.app/profile/" + EDGE + _handle(LOW + r".:\-", "1,255") + _SLASH,
+    "mediums": _alt(_WWW + r"medium\.com/@" + some(LOW + r"_.\-", "2,50"), _no(r"www\.") + some(LOW + r"\-", "2,50") + r"\.medium\.com") + _no(rf"[{LOW}_.\-]") + _SLASH,
+    "calendlys": _WWW + r"calendly\.com/" + _not_reserved(CALENDLY_RESERVED) + _handle(LOW + r"_\-", "2,60") + _SLASH,
 }
 PLATFORM_PATTERN = {p: _START + _HTTP + _BODIES[p] for p in PLATFORMS}
 
@@ -135,7 +169,7 @@ DROPPED_PATHS = {
     "calendlys": CALENDLY_RESERVED.split(),
 }
 
-# --- links ---------------------------------------------------------------------
+# links
 
 _TRACKERS = "_ga dclid fbclid feature gclid igsh igshid mc_cid mc_eid msclkid ref ref_src ref_url si source yclid".split()
 TRACKING_PARAM = "^(?:utm_.*|" + "|".join(_TRACKERS) + ")$"
@@ -155,7 +189,7 @@ NO_KEYWORD = 10
 NON_PAGE = ("#", "callto:", "data:", "javascript:", "mailto:", "phone:", "tel:", "telephone:")
 CRAWL = {"pages": 20, "depth": 2, "early_exit": 8, "attempts": 40, "failures": 5, "good_remaining": 60}
 
-# --- pages ---------------------------------------------------------------------
+# pages
 
 SILENT_TAGS = frozenset("canvas iframe noscript script style svg template".split())
 BLOCK_TAGS = frozenset("address article aside blockquote dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul".split())

@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlkit.functions import rules
-from trawlkit.functions.rules import java
+from trawlkit.functions.rules import EDGE, LOW, java, some
 from trawlkit.functions.text import unescape_basic
+from trawlkit.functions.urls import SCHEME
 
-_SCHEME = java(r"^[a-z][a-z0-9+.\-]*://")
+
+
+_FACEBOOK = "https://www.facebook.com/"
 
 
 @dataclass
@@ -49,7 +52,7 @@ class Parts:
 
 def url_parts(url: Column) -> Column:
     """A url cut up, as a struct; make it a column of its own before :func:`canonical` reads it many times."""
-    rest = F.regexp_replace(unescape_basic(F.trim(url)), _SCHEME, "")
+    rest = F.regexp_replace(unescape_basic(F.trim(url)), SCHEME, "")
     host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(rest, "^([^/?#]*)", 1), "^[^@]*@", ""), r":\d*$", ""))
     host = F.regexp_replace(host, r"^(?:(?:www|mobile|m)\.)+(?=.)", "")
     segs = F.filter(F.split(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), "/"), lambda s: s != "")
@@ -110,10 +113,10 @@ def _facebook(p: Parts):
     named = first.isin("people", "pages")
     found = (
         F.when(first.startswith("share") | first.isin(*rules.DROPPED_PATHS["facebooks"]), F.lit(None))
-        .when(first == "profile.php", F.when(_full(number, r"\d+"), _hit(_prefixed("https://www.facebook.com/profile.php?id=", number), _prefixed("id/", number), number)))
+        .when(first == "profile.php", F.when(_full(number, r"\d+"), _hit(_prefixed(_FACEBOOK + "profile.php?id=", number), _prefixed("id/", number), number)))
         .when(first.endswith(".php"), F.lit(None))
-        .when(named, F.when(_full(p.seg(2), r"\d+"), _hit(F.concat(F.lit("https://www.facebook.com/"), first, F.lit("/"), p.seg(1), F.lit("/"), p.seg(2)), F.concat(first, F.lit("/"), p.seg(2)), p.seg(1))))
-        .when(_full(user, "[a-z0-9.]{5,51}"), _profile("https://www.facebook.com/", user))
+        .when(named, F.when(_full(p.seg(2), r"\d+"), _hit(F.concat(F.lit(_FACEBOOK), first, F.lit("/"), p.seg(1), F.lit("/"), p.seg(2)), F.concat(first, F.lit("/"), p.seg(2)), p.seg(1))))
+        .when(_full(user, "[a-z0-9.]{5,51}"), _profile(_FACEBOOK, user))
     )
     return p.on("facebook.com", "fb.com") & p.has(1), found
 
@@ -150,7 +153,7 @@ def _discord(p: Parts):
 
 def _snapchat(p: Parts):
     user = _no_dots(F.when(p.seg(0).rlike("^@."), F.substring(p.seg(0), 2, 1 << 20)).when(p.low(0) == "add", p.seg(1)))
-    return p.on("snapchat.com") & _full(user, r"[a-z0-9\-_.]{3,32}"), _profile("https://www.snapchat.com/add/", user)
+    return p.on("snapchat.com") & _full(user, some(LOW + r"\-_.", "3,32")), _profile("https://www.snapchat.com/add/", user)
 
 
 def _threads(p: Parts):
@@ -194,12 +197,12 @@ def _whatsapp(p: Parts):
 
 def _github(p: Parts):
     owner = F.when(p.low(0) == "orgs", p.seg(1)).otherwise(p.seg(0))
-    return p.on("github.com") & _kept("githubs", owner) & _full(owner, r"[a-z0-9][a-z0-9\-]{0,38}"), _profile("https://github.com/", owner)
+    return p.on("github.com") & _kept("githubs", owner) & _full(owner, EDGE + some(LOW + r"\-", "0,38")), _profile("https://github.com/", owner)
 
 
 def _bluesky(p: Parts):
     handle = _no_dots(p.low(1))
-    return p.on("bsky.app") & (p.low(0) == "profile") & _full(handle, r"[a-z0-9][a-z0-9.:\-]{1,255}"), _profile("https://bsky.app/profile/", handle)
+    return p.on("bsky.app") & (p.low(0) == "profile") & _full(handle, EDGE + some(LOW + r".:\-", "1,255")), _profile("https://bsky.app/profile/", handle)
 
 
 def _medium(p: Parts):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawlkit.functions import rules
-from trawlkit.functions.rules import java
+from trawlkit.functions.rules import java, some
 
 #: Second-level public suffixes: these labels under a country code are a suffix together with it.
 _SECOND = "ac co com edu gob gov gouv govt id ind mil ne net nic nom or org sch".split()
@@ -28,20 +28,20 @@ _SECOND_OF = {
 DOUBLE_SUFFIXES = tuple(sorted(f"{second}.{top}" for top, words in _SECOND_OF.items() for second in words.split()))
 #: Last labels that are no public suffix.
 PRIVATE_TOPS = tuple("corp example home internal invalid lan local localhost onion test".split())
-IPV4 = r"^\d{1,3}(?:\.\d{1,3}){3}$"
+SCHEME = java("^" + some("a-z", "1") + some(r"a-z0-9+.\-", "0,") + "://")
 
 CCTLD_REGION = {t: t.upper() for t in "ae at au be br ca ch cn cz de dk es fi fr hk ie in it jp kr mx nl no nz pl pt se sg us za".split()} | {"uk": "GB"}
 
 
 def url_host(url: Column) -> Column:
     """Lower-case host of a url or bare host, without user and port."""
-    rest = F.regexp_replace(F.trim(url), java(r"^[a-z][a-z0-9+.\-]*://"), "")
+    rest = F.regexp_replace(F.trim(url), SCHEME, "")
     authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^[^@]*@", ""), r":\d*$", ""))
 
 
 def url_path(url: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(F.trim(url), java(r"^[a-z][a-z0-9+.\-]*://"), ""), r"^[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(F.regexp_replace(F.trim(url), SCHEME, ""), r"^[^/?#]*([^?#]*)", 1)
 
 
 def url_query(url: Column) -> Column:
@@ -119,7 +119,8 @@ def normalized(url: str | None) -> str | None:
     except ValueError:
         return url
     host = parts.netloc.lower().removeprefix("www.")
-    kept = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not re.match(rules.TRACKING_PARAM, k, re.I))
+    params = parse_qsl(parts.query, keep_blank_values=True)
+    kept = sorted(p for p in params if not re.match(rules.TRACKING_PARAM, p[0], re.I))
     return urlunsplit(("https", host, parts.path.rstrip("/"), urlencode(kept), ""))
 
 
@@ -139,7 +140,7 @@ def normalize_plain_url(url: Column) -> Column:
     return F.when(query == "", base).otherwise(F.concat(base, F.lit("?"), query))
 
 
-# --- links of the crawl frontier -----------------------------------------------
+# links of the crawl frontier
 
 
 def keyword_score(path: Column, text: Column) -> Column:
