@@ -34,7 +34,7 @@ def grouped(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-# --- components ----------------------------------------------------------------
+# components
 
 
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60))
@@ -55,7 +55,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-# --- SimHash -------------------------------------------------------------------
+# SimHash
 
 
 def brute_print(text, k=3):
@@ -146,7 +146,7 @@ def test_keep_one_by_similarity(spark):
     assert 64 < limit < 100
 
 
-# --- embeddings ------------------------------------------------------------------
+# embeddings
 
 
 def vectors(seed=2):
@@ -201,7 +201,7 @@ def test_recall_against_brute_force(spark, sf_dir):
     assert found >= 0.9 * true
 
 
-# --- WARC ------------------------------------------------------------------------
+# WARC
 
 
 @given(st.binary(max_size=300), st.integers(1, 50))
@@ -248,7 +248,7 @@ def test_archive_round_trip(spark, tmp_path):
     assert next(r.payload_digest for r in warc.archive_report(pages).collect() if r.page_id == 4) == hashlib.sha256(long.encode()).hexdigest()
 
 
-# --- html ------------------------------------------------------------------------
+# html
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a>Menu</a></nav><div class="cookie-notice">ok?</div>
 <article class="post"><h1>Head &amp; tail</h1><p>One <b>bold</b>
@@ -279,7 +279,7 @@ def test_suffix_array_removes_what_pages_share(spark):
     assert html.main_text(pages.limit(0)).count() == 0
 
 
-# --- queries and pipeline ----------------------------------------------------------
+# queries and pipeline
 
 
 @pytest.fixture(scope="module")

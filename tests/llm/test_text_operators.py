@@ -35,7 +35,7 @@ def docs_of(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-# --- language ID ---------------------------------------------------------------
+# language ID
 
 
 def test_language_held_out(spark, sf_dir):
@@ -69,7 +69,7 @@ def test_svm_separates():
     assert langid.family_of("pt-BR") == "romance" and langid.family_of("xx") == "=xx"
 
 
-# --- mixing --------------------------------------------------------------------
+# mixing
 
 
 @given(st.lists(st.integers(0, 2000), min_size=1, max_size=8), st.integers(0, 5))
@@ -125,7 +125,7 @@ def test_mix_defined_cases(odd, empty):
     assert got[1]["size"] == 0 and got[1].taken == 0 and got[1].source_size == 0 and got[6]["size"] == 60_000
 
 
-# --- token counts --------------------------------------------------------------
+# token counts
 
 PIECES = {"▁": -1.0, "▁a": -1.5, "a": -2.0, "ab": -2.2, "▁ab": -3.0, "b": -2.5, "ba": -2.4, "abba": -9.0}
 
@@ -179,7 +179,7 @@ def test_token_counts(spark, sf_dir, odd, empty):
     assert got[1].n_tokens == 0 and got[3].n_tokens == 0 and got[6].n_pretokens == 60_000 and tokencount.token_counts(empty).count() == 0
 
 
-# --- toxicity --------------------------------------------------------------------
+# toxicity
 
 
 def toxic_corpus(n=400, seed=1):
@@ -221,7 +221,7 @@ def test_toxicity_report(spark, odd, empty):
     assert toxicity.toxicity_report(empty, marks).count() == 0 and toxicity.toxicity_report(odd, marks).count() == len(ODD)
 
 
-# --- PII -------------------------------------------------------------------------
+# PII
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -268,7 +268,7 @@ def test_weak_supervision_adds_and_rejects(spark):
     assert clean.filter("doc_id = 101").first().text == "9870157079875996 is no number"
 
 
-# --- decontamination ---------------------------------------------------------------
+# decontamination
 
 
 def leak_words(text):

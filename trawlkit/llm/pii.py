@@ -36,7 +36,7 @@ from trawlkit.llm.common import frugal, saved
 
 KINDS = ("email", "ip", "card", "phone")
 
-# --- base spans ---------------------------------------------------------------
+# base spans
 
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -91,7 +91,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-# --- candidates, labelers, features -------------------------------------------
+# candidates, labelers, features
 
 # possessive runs: no candidate pattern can try a run twice
 _LOOSE = (
@@ -161,7 +161,7 @@ def listed(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
 
-# --- reliabilities and classifier -----------------------------------------------
+# reliabilities and classifier
 
 
 def reliabilities(patterns: list[tuple[str, tuple[int, ...], float]], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
@@ -217,7 +217,7 @@ def span_classifier(counts: list[tuple[str, float, float]], steps: int = 60, rid
     return {k: float(1 / (1 + np.exp(-np.clip(_encode(k) @ w, -30, 30)))) for k, _, _ in counts}
 
 
-# --- Spark ------------------------------------------------------------------------
+# Spark
 
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.string()), ("key", pa.string())]))
 _FOUND_SQL = "array<struct<kind:string,start:int,end:int,base:boolean,votes:string,key:string>>"
