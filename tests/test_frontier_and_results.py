@@ -10,6 +10,7 @@ from trawlkit.functions.urls import normalized
 from trawlkit.operators.frontier import crawl, frontier, keyword_points, links, replay
 from trawlkit.operators.parse import parse_page, parse_pages
 from trawlkit.plans import results
+from trawlkit.plans.scrape import scrape_contacts
 from trawlkit.sources.files import read_fetches, write_csv, write_json
 from trawlkit.sources.tasks import Client, changed_since, with_status
 from trawlkit.streaming import contacts as streaming
@@ -76,6 +77,17 @@ def test_crawl_over_frames(spark):
     assert [r.url_norm for r in ranked] == ["https://acme.com/contact", "https://acme.com/b"]
 
 
+def test_scrape(spark):
+    html = {"https://acme.com": a("/contact", "/b"), "https://acme.com/contact": "<title>c</title><p>x@acme.com", "https://acme.com/b": "<p>x@acme.com y@gmail.com"}
+    rows = [(1, normalized(u), u, 200, None, h) for u, h in html.items()]
+    corpus = spark.createDataFrame(rows, "seed_id long, url_norm string, final_url string, status int, error string, html string")
+    seeds = spark.createDataFrame([(1, "acme.com"), (2, "http://Dead.org/x")], "seed_id long, query string")
+    got = {r.domain: r for r in scrape_contacts(seeds, corpus).collect()}
+    assert set(got) == {"acme.com", "dead.org"} and got["dead.org"].emails == [] and got["dead.org"].error.startswith("no page")
+    assert [e.value for e in got["acme.com"].emails] == ["x@acme.com", "y@gmail.com"] and got["acme.com"].error is None
+    assert got["acme.com"].emails[0].sources == ["https://acme.com/contact", "https://acme.com/b"]
+
+
 def test_filters_and_pages(spark):
     df = spark.createDataFrame([(f"d{i:02d}", [] if i % 2 else ["x"], None if i % 3 else "err") for i in range(60)], "domain string, emails array<string>, error string")
     assert results.apply_filters(df, [("truthy", "emails"), ("is_not_null", "error")]).count() == 10

@@ -22,6 +22,7 @@ from trawlkit.operators import frontier as fr
 from trawlkit.operators.parse import parse_pages
 from trawlkit.plans import results
 from trawlkit.plans.contacts import contacts, error_rows
+from trawlkit.plans.scrape import scrape_contacts
 from trawlkit.sources.files import pages_of
 from trawlkit.sources.scratch import spread
 from trawlkit.sources.tasks import duration, split_tasks
@@ -221,14 +222,25 @@ def link_frontier(spark, sf_dir):
     return fr.frontier(fr.links(parsed)).select("site", "url_norm", _long("keyword").alias("keyword"), _long("score").alias("score"), _long("place").alias("place"))
 
 
+def _own_crawl(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every host as a seed, its own pages as the corpus. A seed is its host's first page, without scheme, query and fragment."""
+    pages = pages_of(_t(spark, sf_dir, "pages"))
+    corpus = pages.withColumns({"seed_id": F.xxhash64("site"), "url_norm": normalize_plain_url(F.col("url")), "final_url": F.col("url"), "status": F.lit(200), "error": F.lit(None).cast("string")})
+    seeds = pages.groupBy(F.xxhash64("site").alias("seed_id")).agg(F.min_by(F.concat("site", url_path(F.col("url"))), "page_seq").alias("query"))
+    return seeds, corpus
+
+
 @query(name="crawl_replay")
 def _crawl(spark, sf_dir):
     """Replays a crawl of every host against its own pages."""
-    pages = pages_of(_t(spark, sf_dir, "pages"))
-    corpus = parse_pages(pages.withColumns({"seed_id": F.xxhash64("site"), "url_norm": normalize_plain_url(F.col("url")), "final_url": F.col("url"), "status": F.lit(200), "error": F.lit(None).cast("string")}))
-    # the seed of a host is its first page, without the scheme, the query and the fragment
-    seeds = pages.groupBy(F.xxhash64("site").alias("seed_id")).agg(F.min_by(F.concat("site", url_path(F.col("url"))), "page_seq").alias("query"))
-    return fr.crawl(seeds, corpus)
+    seeds, corpus = _own_crawl(spark, sf_dir)
+    return fr.crawl(seeds, parse_pages(corpus))
+
+
+@query(name="scrape_contacts")
+def _scrape(spark, sf_dir):
+    """Seeds to records: the crawl, then the contacts of the pages it keeps."""
+    return scrape_contacts(*_own_crawl(spark, sf_dir))
 
 
 # e-mail
