@@ -66,3 +66,15 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def smallest_of_group(members: DataFrame, value: str, name: str, salts: int = 32) -> DataFrame:
+    """``members`` (with column ``root``) with the smallest ``value`` of each root's rows.
+
+    Lone rows have their own. A root's rows are dealt over ``salts`` keys for
+    the join, so that one that holds a large part of all rows is no single task.
+    """
+    least = members.groupBy("root").agg(F.min(value).alias(name), F.count("*").alias("_n")).filter("_n > 1").select(F.col("root").alias("_root"), F.col(name).alias("_least"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_at"))
+    dealt = members.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    met = dealt.join(least, (F.col("root") == F.col("_root")) & (F.col("_salt") == F.col("_at")), "left")
+    return met.withColumn(name, F.coalesce("_least", value)).drop("_salt", "_root", "_least", "_at")

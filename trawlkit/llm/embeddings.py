@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlkit.llm.common import blocked, group_edges, hash_order, saved
-from trawlkit.llm.components import components, spanning_forest
+from trawlkit.llm.components import components, smallest_of_group, spanning_forest
 
 PIVOTS, NEAREST, COSINE, LIST_ROWS = 64, 6, 0.93, 4_000
 
@@ -172,8 +172,7 @@ def vector_groups(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedd
     counts = links.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     roots = components(links.filter("b is not null").select("a", "b")).withColumnRenamed("node", "cls")
     member = classes.join(counts, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = member.groupBy("root").agg(F.min("rep").alias("component"))
-    known = member.join(named, "root").select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+    known = smallest_of_group(member, "rep", "component").select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
     linked = rows.filter("good").join(known, ["label", "vector"]).select("key", "n_links", F.col("component").alias("component_id"))
     alone = rows.filter("not good").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
     return linked.unionByName(alone).select(F.col("key").alias(key), "n_links", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlkit.llm.common import ASCII_LOWER, blocked, frugal, group_edges, saved
-from trawlkit.llm.components import components, spanning_forest
+from trawlkit.llm.components import components, smallest_of_group, spanning_forest
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: For deduplication by similarity: candidates by two-word shingles, verified by a long sketch of five-word ones.
@@ -198,8 +198,7 @@ def fingerprint_components(prints: DataFrame, **options) -> DataFrame:
     distinct = saved(distinct.withColumn("node", F.monotonically_increasing_id() if len(same) > 1 else F.col("fp")), "prints")
     roots = components(near_links(distinct, **options))
     member = distinct.join(roots, "node", "left").select(*same, "rep", F.coalesce("root", "node").alias("root"))
-    named = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return member.join(named, "root").select(*same, "component_id")
+    return smallest_of_group(member, "rep", "component_id").select(*same, "component_id")
 
 
 def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, **options) -> DataFrame:
