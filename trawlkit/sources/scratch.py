@@ -2,11 +2,14 @@
 
 That folder is named by ``spark.checkpoint.dir``; where the setting is unset
 (tests), a temporary one is set for the session. A lost executor costs no more
-than the tasks it was running, for what is written here stays.
+than the tasks it was running, for what is written here stays. Tables lie in a
+folder named by the application; delete it once the application has ended.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="trawlkit-")
+        own = tempfile.mkdtemp(prefix="trawlkit-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
