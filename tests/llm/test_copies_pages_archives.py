@@ -146,6 +146,33 @@ def test_keep_one_by_similarity(spark):
     assert 64 < limit < 100
 
 
+@pytest.mark.parametrize("confirm_rows", [500, 5])
+def test_keep_one_confirms_exactly(spark, confirm_rows):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
+    line = " ".join(rng.choice(words) for _ in range(12))
+    texts = [" ".join([*(rng.choice(words) for _ in range(100)), *[line] * 20]) for _ in range(6)]  # alike by counts, not as sets
+    for _ in range(12):  # chains of small changes, whose ends are less alike than 0.8
+        base = [rng.choice(words) for _ in range(200)]
+        for _ in range(8):
+            texts.append(" ".join(base))
+            at = rng.randrange(180)
+            base[at : at + 2] = [rng.choice(words), rng.choice(words)]
+    for _ in range(40):  # some 0.6 to 0.9
+        base = [rng.choice(words) for _ in range(200)]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(3, 9)):
+            base[rng.randrange(200)] = rng.choice(words)
+        texts.append(" ".join(base))
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id for r in simhash.keep_one(docs, bits=16, confirm_rows=confirm_rows).collect()}
+    whole = {*grouped(pairs, range(len(texts))).values()}
+    assert whole <= got and {*range(6)} <= got  # nothing less alike is linked
+    assert len(got) <= len(whole) + 2  # wide candidates: hardly a pair is missed
+
+
 # embeddings
 
 
