@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trawlkit.functions import numbering, rules, urls
-from trawlkit.functions.emails import decoded_cfemail, false_email, is_email, plain_address_text
+from trawlkit.functions.emails import decoded_cfemail, false_email, found_emails, is_email, plain_address_text
 from trawlkit.functions.rules import java
 from trawlkit.functions.socials import detected, with_profile
 from trawlkit.functions.tech import detect_technologies, plain_headers
@@ -164,6 +164,12 @@ def test_guard_keeps_tokens_up_to_its_length(spark, n):
     assert ("x" * n in kept) == (n <= rules.LONG_TOKEN)
 
 
+def test_long_texts_are_scanned_whole(spark):
+    text = "word " * 310_000 + "end@oak-mill.com +1 415 555 2671"
+    assert column(spark, [text], lambda v: found_emails(scan_safe(v)), "string") == [["end@oak-mill.com"]]
+    assert [p["value"] for p in page_phones(text, [], None)[0]] == ["+14155552671"]
+
+
 def test_accents(spark):
     assert column(spark, ["Éàü ñ ß z", None], fold_accents) == ["Eau n ß z", None]
 

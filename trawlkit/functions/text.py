@@ -37,7 +37,7 @@ def unescape_basic(text: Column) -> Column:
 
 def scan_safe(text: Column) -> Column:
     """Without tokens too long to be contact data; they would make the patterns backtrack."""
-    return F.regexp_replace(F.substring(text, 1, rules.SCAN_CHARS), rf"(?U)\S{{{rules.LONG_TOKEN + 1},}}", " ")
+    return F.regexp_replace(text, rf"(?U)\S{{{rules.LONG_TOKEN + 1},}}", " ")
 
 
 def digits(text: Column) -> Column:

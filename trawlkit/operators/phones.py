@@ -42,7 +42,7 @@ def candidates(text: str, anchors: list[dict], region: str | None, extra: list[s
     out = [{"value": unquote(_TEL.sub("", a["href"])).strip(), "href": True, "footer": a["in_footer"], "full": False} for a in anchors if _TEL.match(a["href"])]
     out += [{"value": x.strip(), "href": True, "footer": False, "full": False} for x in extra]
     out = [c for c in out if c["value"]]
-    text = _DAY.sub(" ", _LONG.sub(" ", text[: rules.SCAN_CHARS]))
+    text = _DAY.sub(" ", _LONG.sub(" ", text))
     seen: dict[str, dict] = {}
 
     def shown(value: str, full: bool):
