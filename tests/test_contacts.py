@@ -37,6 +37,13 @@ def values(record, field):
     return [x["value"] for x in record[field]]
 
 
+def test_long_pages_are_read_whole(spark):
+    late = '<footer><a href="https://www.facebook.com/LateOak">f</a><a href="mailto:late@oak-mill.com">m</a></footer>'
+    rows = [("oak-mill.com", k, "https://oak-mill.com/", "<p>" + "word " * n + "</p>" + late) for k, n in ((1, 320_000), (2, 620_000))]
+    hits = {(h.page_seq, h.field, h.value) for h in page_hits(spark.createDataFrame(rows, PAGES).withColumn("domain", F.col("site"))).collect()}
+    assert {(k, f, v) for k in (1, 2) for f, v in (("facebooks", "https://www.facebook.com/LateOak"), ("emails", "late@oak-mill.com"))} <= hits
+
+
 def test_layout(found):
     df, rows = found
     assert df.columns == ["domain", "title", "description", "emails", "phones", "phones_uncertain", *rules.PLATFORMS, "technologies", "error"]

@@ -130,7 +130,7 @@ def squeezed(text: str) -> str:
 
 def parse_page(url: str | None, html: str | None) -> dict:
     w = _Walker(url or "")
-    w.feed((html or "")[: rules.STORED_CHARS])
+    w.feed(html or "")
     w.finish()
     coded = [(c, False, f) for c, f in w.coded] + [(a["href"].split("#", 1)[1], True, a["in_footer"]) for a in w.anchors if "/cdn-cgi/l/email-protection#" in a["href"]]
     title = w.title if w.title and w.title.strip() else w.meta.get("og:title")

@@ -45,16 +45,17 @@ def social_urls(platform: str) -> Column:
     none = F.array().cast("array<struct<field:string,value:string,from_href:boolean,in_footer:boolean>>")
     raw = F.transform(detected(F.col("scanned"), platform), lambda u: _found(platform, u, F.lit(False), F.lit(False))) if platform not in rules.ANCHOR_ONLY else none
     fits = F.filter("anchors", lambda a: F.coalesce(a["resolved"].rlike(java(rules.PLATFORM_PATTERN[platform])), F.lit(False)))
-    found = F.concat(raw, F.transform(fits, lambda a: _found(platform, a["resolved"], F.lit(True), a["in_footer"])))
-    return F.when(F.col("low").rlike(rules.GATES[platform]), found).otherwise(none)
+    linked = F.transform(fits, lambda a: _found(platform, a["resolved"], F.lit(True), a["in_footer"]))
+    gated = lambda text, hits: F.when(F.col(text).rlike(rules.GATES[platform]), hits).otherwise(none)
+    return F.concat(gated("low", raw), gated("low_links", linked))
 
 
 def page_hits(pages: DataFrame) -> DataFrame:
     """``pages`` (site, page_seq, url, html, domain) to hits; each page also gives one hit of field ``_page`` with title and description."""
     kept = pages.select("site", "page_seq", "url", "html", "domain")
     read = parse_pages(kept).withColumns({"scanned": F.substring(F.coalesce("html", F.lit("")), 1, rules.SCAN_CHARS), "safe_text": scan_safe(F.col("text")), "region": region_of(F.col("domain"))})
-    # links resolve against the page's own url, so the gates read it too
-    read = read.withColumns({"plain_text": deobfuscated(F.when(F.col("safe_text").rlike(DISGUISE), F.col("safe_text"))), "low": F.lower(F.concat_ws(" ", "url", "scanned"))})
+    # raw html is scanned to a limit, links are not: each has its own gate
+    read = read.withColumns({"plain_text": deobfuscated(F.when(F.col("safe_text").rlike(DISGUISE), F.col("safe_text"))), "low": F.lower("scanned"), "low_links": F.lower(F.array_join(F.transform("anchors", lambda a: a["resolved"]), " "))})
     read = read.withColumn("socials", F.concat(*map(social_urls, rules.PLATFORMS)))
     numbers = F.transform(F.filter("socials", lambda h: h["field"] == "whatsapps"), lambda h: dialled_number(h["value"]))
     read = read.withColumn("wa_numbers", F.array_distinct(F.filter(numbers, lambda n: n.isNotNull())))
