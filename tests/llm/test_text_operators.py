@@ -304,6 +304,14 @@ def test_suffix_array(a):
     assert decontaminate.suffix_array(np.array(a, dtype=np.int64)).tolist() == sorted(range(len(a)), key=lambda i: a[i:])
 
 
+def test_longest_match_may_begin_inside_another():
+    s, t = [b"s%d" % i for i in range(10)], [b"t%d" % i for i in range(40)]
+    for shared in (9, 10):
+        items = [("a", b" ".join([b"x", *s[:shared]]).decode()), ("b", b" ".join([*s[:shared], *t]).decode())]
+        found = decontaminate.scan_shard(decontaminate.TestSet(items, 10), [[b"y", b"x", *s[:shared], *t]])
+        assert found[0][2] == (shared + 40, "b", 0, 2)
+
+
 def test_longest_match(spark):
     passage = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, f"x y {passage} z"), (2, "w1 w2 w3"), (3, None)], "doc_id long, text string")

@@ -6,8 +6,8 @@ the shard: the start positions, ordered by the words that follow, compared to
 the depth of one window. Only suffixes that could match are kept, those that
 start a run of benchmark words as long as the shortest window, so the sort
 costs little where nothing leaks. Every test suffix is then binary-searched in
-the array; the range it finds holds every verbatim occurrence. From the start
-of each run of hits, the longest verbatim match is read off the benchmark's own
+the array; the range it finds holds every verbatim occurrence. From each
+hit that could begin a longer one, the longest verbatim match is read off the benchmark's own
 suffix array, where it must stand next to the searched suffix.
 
 The benchmark is the stated query set. It is read in blocks of at most
@@ -162,9 +162,11 @@ def scan_shard(test: TestSet, docs: list[list[bytes]]) -> list[tuple[list[int],
     for part, d in zip(np.split(covered, edges), of[np.concatenate(([0], edges))].tolist()):
         out[d][0].extend((part - starts[d]).tolist())
     first = np.unique(np.concatenate(begins))
-    first = first[np.concatenate(([True], np.diff(first) > 1))]
-    for p in first.tolist():
+    last = first[np.concatenate((np.diff(first) > 1, [True]))]
+    for p, end in zip(first.tolist(), last[np.searchsorted(last, first)].tolist()):
         d = int(np.searchsorted(starts, p, side="right") - 1)
+        if end - p + test.window <= out[d][2][0]:  # all windows of a longer match would be hits
+            continue
         stop = int(stops[np.searchsorted(stops, p)])
         n, item, offset = test.longest(ids[p:stop].astype(np.int64))
         if n > out[d][2][0]:
