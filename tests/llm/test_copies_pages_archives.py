@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.test_oracles import TABLES, compare
-from trawlkit.llm import embeddings, html, simhash, warc
+from trawlkit.llm import embeddings, html, prints, similar, simhash, warc
 from trawlkit.llm.components import components, spanning_forest
 from trawlkit.llm.queries import ORACLES, QUERIES
 
@@ -70,7 +70,7 @@ def brute_print(text, k=3):
 @given(st.text(alphabet="aB é \t\x0b\x85\xa0", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_fingerprint(text):
-    assert simhash.fingerprint(text) == brute_print(text)
+    assert simhash.fingerprints([text, None, text + " x"]).tolist() == [brute_print(text), 0, brute_print(text + " x")]
 
 
 @given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=9), st.integers(1, 8))
@@ -118,37 +118,62 @@ def test_simhash_groups(spark, bits, group_rows):
 def test_keep_one(spark):
     rows = [(3, "a b c d"), (1, "A b c d"), (1, "A b c d"), (2, "other words entirely here"), (None, "null id of its own kind"), (5, None), (4, "")]
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, _fp string")
-    got = simhash.keep_one(docs)
+    got = similar.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, "A b c d"), (2, "other words entirely here"), (None, "null id of its own kind"), (4, "")], key=str)
-    assert simhash.keep_one(docs.limit(0)).count() == 0 and simhash.simhash_groups(docs.limit(0)).count() == 0
+    assert similar.keep_one(docs.limit(0)).count() == 0 and simhash.simhash_groups(docs.limit(0)).count() == 0
+
+
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=80), max_size=5), st.sampled_from((1, 2, 3, 5)), st.sampled_from((7, 64, 1000)))
+@settings(max_examples=150, deadline=None)
+def test_shingles_and_majorities(texts, k, run):
+    hashes, counts = prints.shingle_sets(texts, k)
+    true = [{b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in texts]
+    found = [{*s.tolist()} for s in np.split(hashes, np.cumsum(counts)[:-1])][: len(texts)] if texts else []
+    assert [len(s) for s in found] == counts.tolist() == [len(s) for s in true]
+    assert all(len(a & b) == len(x & y) for a, x in zip(found, true) for b, y in zip(found, true))
+    kept, prints.RUN_HASHES = prints.RUN_HASHES, run
+    try:
+        got = prints.majority(hashes, counts).tolist()
+    finally:
+        prints.RUN_HASHES = kept
+    assert got == [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s) > len(s)) for s in found]
+
+
+@given(st.integers(0, 2**256 - 1), st.lists(st.integers(0, 255), max_size=50), st.integers(0, 63), st.sampled_from((5, 6)))
+@settings(max_examples=300, deadline=None)
+def test_chain_budgets(x, flips, start, lead):
+    plan = similar.RingPlan(4, lead, 1)
+    y = x
+    for f in flips:
+        y ^= 1 << f
+    word = lambda v: [v >> 64 * j & (1 << 64) - 1 for j in range(4)]
+    diff = np.array([word(x ^ y)], dtype=np.uint64)
+    seg = [((x ^ y) >> 4 * i & 15).bit_count() for i in range(64)]
+    chain = [seg[(start + j) % 64] for j in range(64)]
+    if any(chain[:lead]):
+        return
+    within = all(sum(chain[:n]) <= n * 40 // 64 for n in range(lead + 1, 65))
+    assert (len(similar.chain_survivors(diff, np.array([start]), plan)) == 1) == within
 
 
-def test_keep_one_by_similarity(spark):
-    rng = random.Random(11)
-    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
-    rows, near, far = [], [], []
-    for i in range(60):
-        base = [rng.choice(words) for _ in range(200)]
-        rows.append((10 * i, " ".join(base)))
-        one = base[:]
-        one[100] = "changed"  # 5 of 196 shingles: similarity 0.95
-        rows.append((10 * i + 1, " ".join(one)))
-        near.append(10 * i + 1)
-        many = [w if k % 12 else "other%d" % k for k, w in enumerate(base)]  # similarity about 0.4
-        rows.append((10 * i + 2, " ".join(many)))
-        far.append(10 * i + 2)
-        rows.append((10 * i + 3, " ".join(base)))
-    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {10 * i for i in range(60)} <= kept and {*far} <= kept
-    assert not any(10 * i + 3 in kept for i in range(60)) and len(kept & {*near}) <= 3
-    limit = simhash.sketch_limit(0.8)
-    assert 64 < limit < 100
-
-
-@pytest.mark.parametrize("confirm_rows", [500, 5])
-def test_keep_one_confirms_exactly(spark, confirm_rows):
-    rng = random.Random(7)
+def five_words(text):
+    w = text.translate({i: i + 32 for i in range(65, 91)}).split(" ")
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def alike_pairs(texts, least=0.8):
+    """Brute force over texts that share a shingle: pairs at ``least`` or more."""
+    sets, holders = [five_words(t) for t in texts], {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    met = {(i, j) for h in holders.values() for a, i in enumerate(h) for j in h[:a]}
+    return [(i, j) for i, j in met if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+
+
+def some_texts(seed=7):
+    rng = random.Random(seed)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
     line = " ".join(rng.choice(words) for _ in range(12))
     texts = [" ".join([*(rng.choice(words) for _ in range(100)), *[line] * 20]) for _ in range(6)]  # alike by counts, not as sets
@@ -164,13 +189,50 @@ def test_keep_one_confirms_exactly(spark, confirm_rows):
         for _ in range(rng.randint(3, 9)):
             base[rng.randrange(200)] = rng.choice(words)
         texts.append(" ".join(base))
-    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    return texts
+
+
+@pytest.mark.parametrize("options", [{}, {"key_rows": 3, "root_rows": 4}, {"plan": similar.RingPlan(4, 6, 1)}, {"plan": similar.RingPlan(8, 7, 1)}])
+def test_keep_one_links_exactly(spark, options):
+    texts = some_texts()
+    pairs = alike_pairs(texts)
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id for r in simhash.keep_one(docs, bits=16, confirm_rows=confirm_rows).collect()}
+    got = {r.doc_id for r in similar.keep_one(docs, **options).collect()}
     whole = {*grouped(pairs, range(len(texts))).values()}
     assert whole <= got and {*range(6)} <= got  # nothing less alike is linked
-    assert len(got) <= len(whole) + 2  # wide candidates: hardly a pair is missed
+    assert len(got) <= len(whole) + 6
+
+
+def test_a_large_root_is_compared_whole(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        near = base[:]
+        for _ in range(rng.randint(0, 5)):
+            near[rng.randrange(150)] = rng.choice(words)
+        texts.append(" ".join(near))
+    sets = [five_words(t) for t in texts]
+    pairs = [(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    whole = {*grouped(pairs, range(120)).values()}
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for rows in (9, 2000):
+        assert {r.doc_id for r in similar.keep_one(docs, root_rows=rows).collect()} == whole
+
+
+def test_keep_one_recall_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text is not null")
+    rows = docs.select("doc_id", "text").collect()
+    texts = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        texts.setdefault(" ".join(prints.text_words(r.text) and [w.decode() for w in prints.text_words(r.text)]), r.doc_id)
+    ids = [*texts.values()]
+    pairs = [(ids[i], ids[j]) for i, j in alike_pairs([*texts])]
+    got = {r.doc_id for r in similar.keep_one(docs).collect()}
+    whole = {*grouped(pairs, ids).values()}
+    assert whole <= got  # none is dropped without a link
+    assert len(ids) - len(got) >= 0.9 * (len(ids) - len(whole)) and len(pairs) > 40
 
 
 # embeddings

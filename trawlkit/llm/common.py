@@ -61,7 +61,7 @@ def hash_order(*cols):
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-__all__ = ["ASCII_LOWER", "blocked", "crc_mod", "drop_saved", "frugal", "group_edges", "hash_order", "saved", "scratch_path", "shared_dir", "spread", "table"]
+__all__ = ["ASCII_LOWER", "blocked", "crc_mod", "drop_saved", "frugal", "group_edges", "hash_order", "saved", "scratch_path", "shared_dir", "spread", "table", "whole_groups"]
 
 #: A-Z to a-z, everything else as it is.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -83,6 +83,29 @@ def blocked(df: DataFrame, keys: list[str], item: str, rows: int) -> DataFrame:
     return met.select(*df.columns, F.least("own", "other").alias("bx"), F.greatest("own", "other").alias("by"), "own")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Batches of sorted rows, cut so that no group (equal first ``keys`` columns) is in two of them."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        heads = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        if rest and any(rest[0].column(i)[0].as_py() != batch.column(i)[0].as_py() for i in range(keys)):
+            yield _one(rest)
+            rest = []
+        last = int(np.flatnonzero(group_edges(heads))[-1])
+        if last:
+            yield _one([*rest, batch.slice(0, last)])
+            rest = []
+        rest.append(batch.slice(last))
+    if rest:
+        yield _one(rest)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
 def group_edges(columns) -> np.ndarray:
     """Where each run of equal rows begins in sorted columns."""
     change = np.zeros(len(columns[0]), dtype=bool)

@@ -8,15 +8,8 @@ segment of such a chain is equal, so rows are dealt out by (start, first
 segment); inside a group the chain is grown segment by segment, each step
 pruning pairs, and the survivors' full distance is checked.
 
-For deduplication by similarity (:func:`keep_one`), texts are sets of shingles.
-Candidates within seven bits of two-word fingerprints pass a loose sketch first:
-a SimHash of 512 bits over five-word shingles, whose differing bits tell the
-Jaccard similarity within a few hundredths. Texts with a candidate are then dealt
-again, within the groups that candidates form and with the hashes of their
-five-word shingles, and only pairs whose exact similarity suffices are linked.
-
 Equal fingerprints meet once, as one row with the smallest ``doc_id``. A group
-of more than ``group_rows`` (``confirm_rows``) fingerprints is split into blocks, and pairs of
+of more than ``group_rows`` fingerprints is split into blocks, and pairs of
 blocks go to different tasks; no pair is dropped. Linked pairs never leave a
 task: it returns a spanning forest.
 
@@ -28,128 +21,39 @@ unless all are null.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.llm.common import ASCII_LOWER, blocked, frugal, group_edges, saved
+from trawlkit.llm.common import blocked, frugal, group_edges, saved, whole_groups
 from trawlkit.llm.components import components, smallest_of_group, spanning_forest
+from trawlkit.llm.prints import joined_hashes, majority, text_words
 
-SHINGLE, BITS, SEED = 3, 3, 42
-#: For deduplication by similarity: candidates by two-word shingles, verified by a long sketch of five-word ones.
-SIMILARITY, SKETCH_SHINGLE, SKETCH_WORDS, CANDIDATE_SHINGLE, CANDIDATE_BITS = 0.8, 5, 8, 2, 7
-#: Standard errors by which a sketch may miss the similarity; it only spares exact comparisons.
-SKETCH_ERRORS = 2
-_CHUNK = 1 << 16
-
-
-def _ones(text: str | None, shingle: int, seed: int) -> tuple[np.ndarray, int]:
-    """How often each of 64 bits is set over the text's shingles, and the number of shingles."""
-    w = text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []
-    ones = np.zeros(64, dtype=np.int64)
-    if not w:
-        return ones, 0
-    n = max(1, len(w) - shingle + 1)
-    for at in range(0, n, _CHUNK):
-        upto = min(n, at + _CHUNK)
-        rows = zip(*(w[at + k : upto + k] for k in range(shingle))) if len(w) >= shingle else [w]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, rows), repeat(seed)), dtype="<u8", count=upto - at)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return ones, n
-
-
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned 64-bit SimHash over word shingles, repeats counted; 0 for a text without words."""
-    ones, n = _ones(text, shingle, seed)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
-
-
-def shingle_set(text: str | None, shingle: int = SKETCH_SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The text's distinct shingles as sorted hashes; a text of fewer words is one shingle, one without words has none."""
-    w = text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []
-    rows = zip(*(w[k:] for k in range(shingle))) if len(w) >= shingle else [w] if w else []
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, rows), repeat(seed)), dtype="<u8"))
-
-
-def sketch(hashes: np.ndarray, words: int = SKETCH_WORDS) -> bytes:
-    """A SimHash of ``words`` 64-bit words over distinct shingles."""
-    ones = np.zeros((words, 64), dtype=np.int64)
-    for at in range(0, len(hashes), _CHUNK):
-        h = hashes[at : at + _CHUNK]
-        for j in range(words):
-            ones[j] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").tobytes()
+SHINGLE, BITS = 3, 3
 
 
-def alike(x: bytes, y: bytes, similarity: float) -> bool:
-    """Whether two sets of hashes are at least so alike (Jaccard); two empty ones are."""
-    a, b = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-    few, many = sorted((len(a), len(b)))
-    if not many or few / many < similarity:
-        return not many
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (few + many - common) >= similarity
+def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
+    """The unsigned 64-bit SimHashes over word shingles, repeats counted; 0 for a text without words."""
+    return majority(*joined_hashes([text_words(t) for t in texts], shingle))
 
 
-def sketch_limit(similarity: float) -> int:
-    """Bits in which the sketches of texts of this Jaccard similarity differ, and ``SKETCH_ERRORS`` standard errors."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * SKETCH_WORDS * p + SKETCH_ERRORS * math.sqrt(64 * SKETCH_WORDS * p * (1 - p)))
-
-
-def with_fingerprint(docs: DataFrame, *, text: str = "text", name: str = "fp", shingle: int = SHINGLE, keep_text: bool = False) -> DataFrame:
-    """``docs`` with the fingerprint as a signed long; ``text`` goes unless ``keep_text``."""
+def with_fingerprint(docs: DataFrame, *, text: str = "text", name: str = "fp", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with column ``text`` replaced by the fingerprint as a signed long."""
     at = docs.columns.index(text)
-    keep = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    keep = [i for i in range(len(docs.columns)) if i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(at)), dtype=np.uint64, count=batch.num_rows).view(np.int64)
+            found = fingerprints([t.as_py() for t in batch.column(at)], shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(found)], names=[*(batch.schema.names[i] for i in keep), name])
 
     schema = ", ".join(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in keep)
     return docs.mapInArrow(frugal(run), f"{schema + ', ' if schema else ''}`{name}` long")
 
 
-def with_sketch(docs: DataFrame, *, name: str, shingle: int = CANDIDATE_SHINGLE) -> DataFrame:
-    """``docs`` with a struct: the fingerprint over distinct shingles, the sketch, and a digest that names the set of five-word shingles."""
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for t in batch.column(at):
-                own = shingle_set(t.as_py())
-                fp = np.frombuffer(sketch(shingle_set(t.as_py(), shingle), 1), dtype="<i8")
-                rows.append((int(fp[0]), sketch(own), xxhash.xxh3_128_digest(own.tobytes())))
-            parts = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(parts, names=["fp", "sketch", "digest"])], names=[*batch.schema.names, name])
-
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return docs.mapInArrow(frugal(run), f"{fields}`{name}` struct<fp:long,sketch:binary,digest:binary>")
-
-
-def with_set(texts: DataFrame) -> DataFrame:
-    """``texts`` with column ``text`` replaced by ``set``, the hashes of its five-word shingles."""
-    at = texts.columns.index("text")
-    keep = [i for i in range(len(texts.columns)) if i != at]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(at)], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), sets], names=[*(batch.schema.names[i] for i in keep), "set"])
-
-    return texts.mapInArrow(frugal(run), ", ".join(f"`{texts.schema[i].name}` {texts.schema[i].dataType.simpleString()}" for i in keep) + ", set binary")
-
-
 def bounds(m: int) -> list[int]:
     return [64 * i // m for i in range(m + 1)]
 
@@ -172,99 +76,50 @@ def ring_pairs(x: np.ndarray, y: np.ndarray, start: np.ndarray, bits: int, m: in
     return left[np.bitwise_count(diff[left]) <= bits]
 
 
-def _joiner(bits: int, m: int, limit: int | None, similarity: float | None = None):
-    """Links of rows that are sorted by their group; with ``similarity`` the groups lie within a root, and the rows' sets are compared."""
+def _joiner(bits: int, m: int):
+    """Links of rows (start, seg, bx, by, own, node, fp) that are sorted by their group, the first four."""
     masks = chain_masks(m)
-    keys = 4 if similarity is None else 5
-
-    def met_before(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Whether the pairs also meet in the group of an earlier start."""
-        before = np.zeros(len(x), dtype=bool)
-        for s in range(m - 1):
-            at = np.flatnonzero((start > s) & ((x ^ y) & masks[s, 0] == 0) & ~before)
-            before[at[ring_pairs(x[at], y[at], start[at] * 0 + s, bits, m, masks)]] = True
-        return before
-
-    def confirmed(near: np.ndarray, gap: int, sets: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """The pairs that are alike; one whose ends are linked already tells nothing new."""
-        kept = []
-        for i in near[label[near] != label[near + gap]].tolist():
-            if label[i] != label[i + gap] and alike(sets[i], sets[i + gap], similarity):
-                label[label == label[i + gap]] = label[i]
-                kept.append(i)
-        return np.array(kept, dtype=np.int64)
-
-    def links(cols: list[np.ndarray]) -> pa.RecordBatch | None:
-        """Links within the sorted groups of ``cols``; pairs are met by their distance in the order."""
-        start, _, bx, by, own, node, fp, *long = cols[keys - 4 :]
-        fp, start = fp.view(np.uint64), start.astype(np.int64)
-        group = np.cumsum(group_edges(cols[:keys]))
-        label = np.arange(len(fp))
-        cross = bx != by
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        held = 0
-        for gap in range(1, len(fp)):
-            at = np.flatnonzero(group[:-gap] == group[gap:])
-            if not len(at):
-                break
-            at = at[~cross[at] | (own[at] != own[at + gap])]
-            near = at[ring_pairs(fp[at], fp[at + gap], start[at], bits, m, masks)]
-            if limit is not None and len(near):
-                near = near[np.bitwise_count(long[0][near] ^ long[0][near + gap]).sum(1) <= limit]
-            if similarity is not None and len(near):
-                near = near[~met_before(fp[near], fp[near + gap], start[near])]
-                near = confirmed(near, gap, long[1], label)
-            if len(near):
-                a.append(node[near])
-                b.append(node[near + gap])
-                held += len(near)
-            if held > 1_000_000:
-                x, y = spanning_forest(np.concatenate(a), np.concatenate(b))
-                a, b, held = [x], [y], 0
-        if not a:
-            return None
-        x, y = spanning_forest(np.concatenate(a), np.concatenate(b))
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(keys + 3)]
-            if limit is not None:
-                cols.append(np.frombuffer(b"".join(batch.column(keys + 3).to_pylist()), dtype="<u8").reshape(batch.num_rows, SKETCH_WORDS))
-            if similarity is not None:
-                cols.append(np.array([*batch.column(keys + 4).to_pylist(), None], dtype=object)[:-1])
-            if rest:
-                cols = [np.concatenate(z) for z in zip(rest, cols)]
-            full = int(np.flatnonzero(group_edges(cols[:keys]))[-1]) if len(cols[0]) else 0  # the last group may go on in the next batch
-            rest = [c[full:] for c in cols]
-            if full and (found := links([c[:full] for c in cols])) is not None:
-                yield found
-        if rest and len(rest[0]) and (found := links(rest)) is not None:
-            yield found
+        for batch in whole_groups(batches, 4):
+            start, seg, bx, by, own, node, fp = (np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(7))
+            fp, start = fp.view(np.uint64), start.astype(np.int64)
+            group = np.cumsum(group_edges([start, seg, bx, by]))
+            cross = bx != by
+            a: list[np.ndarray] = []
+            b: list[np.ndarray] = []
+            held = 0
+            for gap in range(1, len(fp)):  # pairs are met by their distance in the order
+                at = np.flatnonzero(group[:-gap] == group[gap:])
+                if not len(at):
+                    break
+                at = at[~cross[at] | (own[at] != own[at + gap])]
+                near = at[ring_pairs(fp[at], fp[at + gap], start[at], bits, m, masks)]
+                if len(near):
+                    a.append(node[near])
+                    b.append(node[near + gap])
+                    held += len(near)
+                if held > 1_000_000:
+                    x, y = spanning_forest(np.concatenate(a), np.concatenate(b))
+                    a, b, held = [x], [y], 0
+            if a:
+                x, y = spanning_forest(np.concatenate(a), np.concatenate(b))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     return run
 
 
-def near_links(prints: DataFrame, *, bits: int = BITS, segments: int | None = None, similarity: float | None = None, exact: bool = False, group_rows: int = 20_000) -> DataFrame:
-    """Forest links (a, b) among the rows of ``prints`` (node, fp) whose fingerprints differ in at most ``bits`` bits.
-
-    With ``similarity``, pairs whose ``sketch`` makes it unlikely are left out;
-    with ``exact`` too, pairs of a ``root`` are linked only if their ``set``
-    columns are at least as alike.
-    """
+def near_links(prints: DataFrame, *, bits: int = BITS, segments: int | None = None, group_rows: int = 20_000) -> DataFrame:
+    """Forest links (a, b) among the rows of ``prints`` (node, fp) whose fingerprints differ in at most ``bits`` bits."""
     m = segments or bits + 1
     if bits >= m:
         raise ValueError("segments must be more than bits, so that a chain starts with an equal segment")
     cut = bounds(m)
-    own = ["node", "fp", *(["sketch"] if similarity is not None else []), *(["set"] if exact else [])]
-    within = ["root"] if exact else []
     segs = [F.struct(F.lit(i).alias("start"), F.shiftrightunsigned("fp", cut[i]).bitwiseAND(F.lit((1 << (cut[i + 1] - cut[i])) - 1)).alias("seg")) for i in range(m)]
-    keys = prints.select(*within, *own, F.explode(F.array(*segs)).alias("k")).select(*within, "k.start", "k.seg", *own)
-    place = [*within, "start", "seg", "bx", "by"]
-    dealt = blocked(keys, [*within, "start", "seg"], "node", group_rows).select(*place, "own", *own).repartition(*place).sortWithinPartitions(*place)
-    return dealt.mapInArrow(_joiner(bits, m, None if similarity is None else sketch_limit(similarity), similarity if exact else None), "a long, b long")
+    keys = prints.select("node", "fp", F.explode(F.array(*segs)).alias("k")).select("k.start", "k.seg", "node", "fp")
+    place = ["start", "seg", "bx", "by"]
+    dealt = blocked(keys, ["start", "seg"], "node", group_rows).select(*place, "own", "node", "fp").repartition(*place).sortWithinPartitions(*place)
+    return dealt.mapInArrow(_joiner(bits, m), "a long, b long")
 
 
 def fingerprint_components(prints: DataFrame, **options) -> DataFrame:
@@ -276,43 +131,8 @@ def fingerprint_components(prints: DataFrame, **options) -> DataFrame:
     return smallest_of_group(member, "rep", "component_id").select("fp", "component_id")
 
 
-def similar_components(marked: DataFrame, similarity: float, *, confirm_rows: int = 500, **options) -> DataFrame:
-    """(digest, component_id) for every distinct set of shingles of ``marked`` (doc_id, text, row, fp, sketch, digest)."""
-    # the row of one such text names the set
-    distinct = saved(marked.groupBy("fp", "sketch", "digest").agg(F.min("doc_id").alias("rep"), F.min("row").alias("node")), "prints")
-    maybe = components(near_links(distinct, similarity=similarity, **options))
-    maybe = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root").distinct())
-    texts = marked.select(F.col("row").alias("node"), "text").join(maybe.join(distinct, "node").select("root", "node", "fp", "sketch"), "node")
-    sets = saved(with_set(texts), "sets")
-    roots = components(near_links(sets, similarity=similarity, exact=True, **options | {"group_rows": confirm_rows}))
-    member = distinct.join(roots, "node", "left").select("digest", "rep", F.coalesce("root", "node").alias("root"))
-    return smallest_of_group(member, "rep", "component_id").select("digest", "component_id")
-
-
 def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, **options) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = saved(with_fingerprint(docs.select("doc_id", "text"), shingle=shingle), "docprints")
     named = fingerprint_components(prints, **options)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, *, similarity: float | None = SIMILARITY, shingle: int = CANDIDATE_SHINGLE, bits: int = CANDIDATE_BITS, **options) -> DataFrame:
-    """``docs`` with one document of each group: the smallest ``doc_id``, one row of it where rows repeat.
-
-    Groups are joined by links between texts whose sets of five-word shingles
-    are at least ``similarity`` alike; ``similarity=None`` links by fingerprint
-    alone.
-    """
-    mark, row = "_mark", "_row"
-    while {mark, row} & {*docs.columns}:
-        mark, row = mark + "_", row + "_"
-    marked = with_fingerprint(docs, shingle=shingle, name=mark, keep_text=True) if similarity is None else with_sketch(docs, shingle=shingle, name=mark)
-    marked = saved(marked.withColumn(row, F.monotonically_increasing_id()), "marked")
-    if similarity is None:
-        same, prints = "fp", marked.select("doc_id", F.col(mark).alias("fp"), F.col(row).alias("row"))
-        named = fingerprint_components(prints.drop("row"), bits=bits, **options)
-    else:
-        same, prints = "digest", marked.select("doc_id", F.col(mark)["digest"].alias("digest"), F.col(row).alias("row"))
-        named = similar_components(marked.select("doc_id", "text", F.col(row).alias("row"), f"{mark}.*"), similarity, bits=bits, **options)
-    first = prints.join(named, same).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row").alias(row)).select(row)
-    return marked.join(first, row, "left_semi").select(*docs.columns)
