@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from itertools import product
 
 import numpy as np
@@ -118,6 +119,31 @@ def test_mix(spark, sf_dir):
     assert text.n.to_dict() == by.taken.to_dict()
 
 
+@pytest.mark.parametrize("most", [3, 1, 5])
+def test_taken_is_what_the_mix_holds(spark, most):
+    """Brute force: every word names its document and place, so the mix itself tells what it took."""
+    rng = random.Random(most)
+    rows = [(i, " ".join(f"{i}_{k}" for k in range(rng.choice((0, 1, 7, 40, 90)))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"most": most, "block": 16, "weights": (1, 9, 9)}
+    report = {r.doc_id: r for r in mixing.mix_report(docs, **options).collect()}
+    words = [w for r in mixing.mixed_text(docs, **options).collect() for w in r.text.split()]
+    taken = {i: 0 for i, *_ in rows}
+    for w in words:
+        taken[int(w.split("_")[0])] += 1
+    assert {i: r.taken for i, r in report.items()} == taken
+    times = {w: words.count(w) for w in {*words}}
+    assert max(times.values()) <= most and all(r.target <= most * r.source_size + 1e-9 for r in report.values())
+    assert most == 1 or any(r.target > 1.5 * r.source_size for r in report.values())
+
+
+def test_words_ahead_of_ranges_of_buckets(spark, sf_dir):
+    sized = docs_of(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    found = mixing.sources(sized)
+    one, many = (sorted((r.src, r.at, r.doc_id) for r in mixing.placed(sized, found, 2, n).collect()) for n in (4096, 3))
+    assert one == many
+
+
 def test_mix_defined_cases(odd, empty):
     rows = mixing.mix_report(odd).collect()
     assert len(rows) == len(ODD) and mixing.mix_report(empty).count() == 0
@@ -268,6 +294,57 @@ def test_weak_supervision_adds_and_rejects(spark):
     assert clean.filter("doc_id = 101").first().text == "9870157079875996 is no number"
 
 
+def brute_posteriors(items, rounds=50):
+    """Expectation-maximisation item by item: votes of one kind, by plain loops."""
+    post = [(v.count(1) + 1) / (len(v) - v.count(2) + 2) for v in items]
+    for _ in range(rounds):
+        right = []
+        for j in range(len(items[0])):
+            said = [(v[j], p) for v, p in zip(items, post) if v[j] != 2]
+            for_one = (sum(p for x, p in said if x == 1) + 9) / (sum(p for _, p in said) + 10)
+            for_none = (sum(1 - p for x, p in said if x == 0) + 9) / (sum(1 - p for _, p in said) + 10)
+            right.append((for_one, for_none))
+        new = []
+        for v in items:
+            one = none = 1.0
+            for x, (r1, r0) in zip(v, right):
+                if x != 2:
+                    one, none = one * (r1 if x == 1 else 1 - r1), none * (1 - r0 if x == 1 else r0)
+            new.append(one / (one + none))
+        post = new
+    return post
+
+
+def test_reliabilities_are_brute_force():
+    rng = random.Random(9)
+    items = [tuple(rng.choice((0, 1, 2)) if rng.random() < 0.4 else good if rng.random() < 0.9 else 1 - good for _ in range(5)) for good in [rng.random() < 0.5 for _ in range(400)]]
+    items = [tuple(int(x) for x in v) for v in items]
+    counts = {v: float(items.count(v)) for v in {*items}}
+    got = pii.reliabilities([("email", v, n) for v, n in sorted(counts.items())])
+    assert all(got["email", v] == pytest.approx(p, abs=1e-5) for v, p in zip(items, brute_posteriors(items)))
+
+
+def test_candidates_are_brute_force():
+    rng = random.Random(2)
+    parts = ["joe (at) example (dot) com", "a@b.com", "415-555-2671", "+1 415-555-2671", "4111-1111-1111-1112", "4111 1111 1111 1111", "10.0.0.1", "x", ", "]
+    for _ in range(200):
+        text = " ".join(rng.choice(parts) for _ in range(12))
+        base = pii.base_spans(text)
+        expected, taken = [(k, a, b, True) for k, a, b in base], [(a, b) for _, a, b in base]
+        for kind, pattern in pii._LOOSE:
+            for m in pattern.finditer(text):
+                if not any(a < m.end() and m.start() < b for a, b in taken):
+                    expected.append((kind, *m.span(), False))
+                    taken.append(m.span())
+        assert pii.candidates(text, base) == expected
+
+
+def test_many_spans_in_a_text():
+    text = "415-555-2671 and a@b.com " * 20_000
+    began = time.time()
+    assert len(pii.candidates(text, pii.base_spans(text))) == 40_000 and time.time() - began < 5
+
+
 # decontamination
 
 
@@ -325,7 +402,7 @@ def test_longest_match(spark):
 def test_blocks_of_items_agree(spark, sf_dir, odd, empty):
     docs, bench = docs_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     one = decontaminate.leak_report(docs, bench).orderBy("doc_id").collect()
-    many = decontaminate.leak_report(docs, bench, block_words=300, shard_words=500).orderBy("doc_id").collect()
+    many = decontaminate.leak_report(docs, bench, block_words=300, shard_words=500, pass_blocks=3).orderBy("doc_id").collect()
     assert [r[:6] for r in one] == [r[:6] for r in many] and any(r.contaminated for r in one)
     assert decontaminate.leak_report(odd, bench).count() == len(ODD) and decontaminate.leak_report(empty, bench).count() == 0
     assert decontaminate.leak_report(odd, bench.limit(0)).filter("contaminated").count() == 0

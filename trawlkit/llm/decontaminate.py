@@ -11,8 +11,9 @@ hit that could begin a longer one, the longest verbatim match is read off the be
 suffix array, where it must stand next to the searched suffix.
 
 The benchmark is the stated query set. It is read in blocks of at most
-``block_words`` words, each broadcast once; the documents' text streams
-through the blocks without a shuffle.
+``block_words`` words, each broadcast once; ``pass_blocks`` of them at most are
+scanned in one pass over the documents' text, which bounds what a task holds.
+Texts are never shuffled.
 
 Defined cases: null and word-less texts have no words and no hits; a null
 item text adds no window; repeated items count once per distinct ``item_id``;
@@ -178,34 +179,40 @@ _FOUND = "struct<hit:array<int>,items:array<string>,n_words:long,longest:int,lon
 _FOUND_ARROW = pa.struct([("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("n_words", pa.int64()), ("longest", pa.int32()), ("longest_item", pa.string()), ("longest_item_at", pa.int32()), ("longest_at", pa.int32())])
 
 
-def _scanner(block, text_at: int, shard_words: int, first: bool, drop_text: bool, found: str):
+def _merged(new: dict, old: dict) -> dict:
+    out = new | {"hit": sorted({*new["hit"], *old["hit"]}), "items": sorted({*new["items"], *old["items"]})}
+    if old["longest"] >= new["longest"]:
+        out |= {k: old[k] for k in ("longest", "longest_item", "longest_item_at", "longest_at")}
+    return out
+
+
+def _scanner(blocks: list, text_at: int, shard_words: int, first: bool, drop_text: bool, found: str):
+    """Scans every document for all ``blocks``; what an earlier pass has found is in the last column unless this is the ``first``."""
+
+    def scanned(shard: list[list[bytes]]) -> list[dict]:
+        rows: list[dict] = []
+        for block in blocks:
+            new = [
+                {"hit": hit, "items": sorted(items), "n_words": len(d), "longest": longest[0], "longest_item": longest[1] or None, "longest_item_at": longest[2], "longest_at": longest[3]}
+                for d, (hit, items, longest) in zip(shard, scan_shard(block.value, shard))
+            ]
+            rows = [_merged(n, o) for n, o in zip(new, rows)] if rows else new
+        return rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test: TestSet = block.value
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            before = None if first else batch.column(batch.num_columns - 1).to_pylist()
             rows: list[dict] = []
             shard: list[list[bytes]] = []
             held = 0
-
-            def flush():
-                for d, (hit, items, longest) in zip(shard, scan_shard(test, shard)):
-                    rows.append({"hit": hit, "items": sorted(items), "n_words": len(d), "longest": longest[0], "longest_item": longest[1] or None, "longest_item_at": longest[2], "longest_at": longest[3]})
-                shard.clear()
-
-            for text in texts:
-                shard.append(words(text))
+            for text in batch.column(text_at):
+                shard.append(words(text.as_py()))
                 held += len(shard[-1])
                 if held >= shard_words:
-                    flush()
-                    held = 0
-            flush()
-            if before:
-                for new, old in zip(rows, before):
-                    new["hit"] = sorted({*new["hit"], *old["hit"]})
-                    new["items"] = sorted({*new["items"], *old["items"]})
-                    if old["longest"] >= new["longest"]:
-                        new |= {k: old[k] for k in ("longest", "longest_item", "longest_item_at", "longest_at")}
+                    rows += scanned(shard)
+                    shard, held = [], 0
+            rows += scanned(shard)
+            if not first:
+                rows = [_merged(n, o) for n, o in zip(rows, batch.column(batch.num_columns - 1).to_pylist())]
             keep = [i for i in range(batch.num_columns - (0 if first else 1)) if not (drop_text and i == text_at)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(rows, type=_FOUND_ARROW)], names=[*(batch.schema.names[i] for i in keep), found])
 
@@ -227,14 +234,14 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[s
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", keep_text: bool = True, shard_words: int = 250_000, block_words: int = 200_000, found: str = "_leak") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", keep_text: bool = True, shard_words: int = 250_000, block_words: int = 200_000, pass_blocks: int = 8, found: str = "_leak") -> DataFrame:
     """``docs`` with a struct column ``found``: hit word positions, items, word count, the longest match and its places."""
     spark = docs.sparkSession
     out = docs
-    blocks = [*item_blocks(benchmark, block_words)] or [[]]
-    for k, items in enumerate(blocks):
-        first, last = k == 0, k == len(blocks) - 1
-        run = _scanner(spark.sparkContext.broadcast(TestSet(items, window)), docs.columns.index(text), shard_words, first, last and not keep_text, found)
+    blocks = [spark.sparkContext.broadcast(TestSet(items, window)) for items in item_blocks(benchmark, block_words)] or [spark.sparkContext.broadcast(TestSet([], window))]
+    for at in range(0, len(blocks), pass_blocks):
+        first, last = at == 0, at + pass_blocks >= len(blocks)
+        run = _scanner(blocks[at : at + pass_blocks], docs.columns.index(text), shard_words, first, last and not keep_text, found)
         fields = [f for f in docs.schema.fields if not (last and not keep_text and f.name == text)]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{found}` {_FOUND}"
         out = out.mapInArrow(frugal(run), schema)

@@ -25,6 +25,7 @@ an empty table gives an empty result; documents with equal ids lie side by side.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -108,9 +109,9 @@ class Source:
     slots: int = 0  #: slots over all passes
     last: int = 0  #: words that the last slot takes
 
-    def plan(self, block: int, seed: int) -> Source:
+    def plan(self, block: int, seed: int, most: float = MOST) -> Source:
         self.blocks = -(-self.size // block)
-        quota = min(round(self.target), MOST * self.size)
+        quota = min(round(self.target), math.floor(most * self.size))
         if not quota:
             return self
         laps, rest = divmod(quota, self.size)
@@ -131,18 +132,21 @@ def sources(sized: DataFrame, *, weights=WEIGHTS, most: float = MOST, block: int
         raise ValueError(f"more than {max_sources} sources")
     rows.sort(key=lambda r: (r.source is None, r.source or ""))
     goal = targets([r["size"] for r in rows], [float(weights[i % len(weights)]) for i in range(len(rows))], most)
-    return [Source(r.source, i, r.n, r["size"], goal[i]).plan(block, seed) for i, r in enumerate(rows)]
+    return [Source(r.source, i, r.n, r["size"], goal[i]).plan(block, seed, most) for i, r in enumerate(rows)]
 
 
-def placed(sized: DataFrame, found: list[Source], bucket_docs: int = 256) -> DataFrame:
+def placed(sized: DataFrame, found: list[Source], bucket_docs: int = 256, range_buckets: int = 4096) -> DataFrame:
     """Each document's place in its source's stream: src, bucket, rn (a row's key) and its first word ``at``."""
     spark = sized.sparkSession
     info = spark.createDataFrame([(s.name, s.index, s.size, s.target, max(1, -(-s.docs // bucket_docs))) for s in found], "source string, src int, source_size long, target double, buckets long")
     known = sized.join(F.broadcast(info), sized["source"].eqNullSafe(info["source"])).select(*(sized[c] for c in sized.columns), "src", "source_size", "target", F.pmod(F.xxhash64("doc_id", "size"), F.col("buckets")).alias("bucket"))
     order = Window.partitionBy("src", "bucket").orderBy("doc_id", "size")
     inside = known.withColumns({"before": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "rn": F.row_number().over(order)})
-    held = known.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
-    ahead = held.select("src", "bucket", (F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("ahead"))
+    # words ahead of a bucket: in its range of buckets, and in the ranges before; no window holds all buckets of a source
+    held = known.groupBy("src", "bucket").agg(F.sum("size").alias("words")).withColumn("range", F.expr(f"bucket div {range_buckets}"))
+    upto = lambda *keys: F.sum("words").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    ranges = held.groupBy("src", "range").agg(F.sum("words").alias("words")).select("src", "range", upto("src", "range").alias("ahead_of_range"))
+    ahead = held.withColumn("inside", upto("src", "range", "bucket")).join(ranges, ["src", "range"]).select("src", "bucket", (F.col("inside") + F.col("ahead_of_range")).alias("ahead"))
     return inside.join(ahead.hint("merge"), ["src", "bucket"]).withColumn("at", F.col("before") + F.col("ahead")).drop("before", "ahead")
 
 

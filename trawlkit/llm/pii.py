@@ -3,17 +3,16 @@
 Base spans follow fixed patterns and always stay. Looser candidates (a phone
 number without its plus sign, a card number that fails its check digit or is
 short of digits, an obfuscated address) are judged by labelers that vote or
-abstain: patterns, a gazetteer of contact words and of known mail and number
-prefixes, and the context's own cues for and against. Expectation-maximisation
+abstain: patterns, gazetteers of mail hosts, domain endings, issuers and calling
+codes, and the context's own cues for and against. Expectation-maximisation
 over the vote patterns of all candidates, base spans included, estimates each
 labeler's reliability, and its posteriors train the final span classifier, a
 logistic regression on the span's shape and context. A candidate the classifier
 accepts and that overlaps no base span or earlier accepted one is added.
 
 Votes and features are small and discrete, so the corpus is summed up exactly
-in counts per pattern (at most ``max_patterns``, a bound set by the number of
-labelers and features, not by the data); texts are read once and never
-shuffled.
+in counts per pattern of votes (four kinds of 3^5) and per key of features (four
+kinds of 21 by 64); texts are read once and never shuffled.
 
 Defined cases: null text is empty; an empty text has no spans, and the hash of
 the empty string; no candidates at all leave the base spans; repeated rows get
@@ -22,7 +21,9 @@ equal spans.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -106,8 +107,36 @@ _CUES = {
     "phone": re.compile(r"\b(?:phone|tel|call|mobile|cell|fax|whatsapp|dial|telefon|t[ée]l[ée]phone|tel[ée]fono)\b", re.I),
 }
 _AGAINST = re.compile(r"\b(?:isbn|issn|order|invoice|serial|sku|version|page|token|hash|sha|md5|id|ref)\b", re.I)
-_MAIL_HOSTS = re.compile(r"\b(?:gmail|yahoo|hotmail|outlook|proton(?:mail)?|icloud|gmx|aol|example)\b", re.I)
-_ISSUER = re.compile(r"(?:4|5[1-5]|2[2-7]|3[47]|6011|65)")
+# gazetteers: free-mail hosts, endings of domains, issuers' number ranges (ISO/IEC 7812), calling codes (ITU E.164)
+_MAIL_HOSTS = frozenset("gmail googlemail yahoo ymail hotmail outlook live msn proton protonmail icloud me mac gmx aol mail web t-online freenet orange laposte wanadoo free libero tiscali virgilio yandex rambler qq 163 126 naver daum zoho fastmail tutanota hey example".split())
+_ENDINGS = frozenset("com org net edu gov mil int info biz name io co ai app dev eu uk de fr es it nl be ch at pl se no dk fi pt gr cz hu ro ru ua tr il in cn jp kr tw hk sg au nz ca us mx br ar cl pe za ng ke eg ie".split())
+_CALLING = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 211 212 213 216 218 220 221 222 223 224 225 226 227 228 229 230 231 232 233 234 235 236 237 238 239 240 241 242 243 244 245 248 249 250 251 252 253 254 255 256 257 258 260 261 262 263 264 265 266 267 268 269 "
+    "290 291 297 298 299 350 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 378 380 381 382 383 385 386 387 389 420 421 423 500 501 502 503 504 505 506 507 508 509 590 591 592 593 594 595 596 597 598 599 670 672 673 674 675 676 677 678 679 680 681 682 683 685 686 687 688 689 690 691 692 850 852 853 855 856 880 886 960 961 962 963 964 965 966 967 968 970 971 972 973 974 975 976 977 992 993 994 995 996 998".split()
+)
+_ISSUER = re.compile(r"(?:4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|35(?:2[89]|[3-8])|30[0-5]|3[68]|6011|64[4-9]|65|62|50|5[6-9]|6[37])")
+
+
+def _listed_number(span: str, digits: str) -> bool:
+    """Whether a number begins as some country's do, or as an area code of the plan that has none."""
+    if span.startswith("+"):
+        return any(digits[:n] in _CALLING for n in (1, 2, 3))
+    return len(digits) == 10 and digits[0] in "23456789" and digits[3] in "23456789"
+
+
+def _special_address(span: str) -> bool:
+    """Loopback, private, reserved and other addresses that name no one."""
+    try:
+        return not ipaddress.ip_address(".".join(p.lstrip("0") or "0" for p in span.split("."))).is_global
+    except ValueError:
+        return True
+
+
+def _listed_mail(span: str) -> bool:
+    words = [w for w in re.split(r"[^a-z0-9-]+", re.split(r"@|\bat\b", span.lower())[-1]) if w and w != "dot"]
+    return bool(words) and (words[-1] in _ENDINGS or bool(_MAIL_HOSTS.intersection(words)))
+
+
 _CONTEXT = 40
 #: labelers in order; a vote is 1 (personal), 0 (not), 2 (abstains)
 LABELERS = ("pattern", "gazetteer", "cue", "against", "shape")
@@ -117,10 +146,10 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[int, ...]:
     digits = _NOT_DIGIT.sub("", span)
     if kind == "email":
         pattern = 1 if _DOMAIN.search(span) and "@" in span else 2
-        gazetteer = 1 if _MAIL_HOSTS.search(span) else 2
+        gazetteer = 1 if _listed_mail(span) else 2
         shape = 1 if "." in span or "dot" in span.lower() else 0
     elif kind == "ip":
-        pattern, gazetteer = 1, 0 if span in ("127.0.0.1", "0.0.0.0", "255.255.255.255") else 2
+        pattern, gazetteer = 1, 0 if _special_address(span) else 2
         shape = 0 if digits == span.replace(".", "")[:4] else 1
     elif kind == "card":
         pattern = 1 if 16 <= len(digits) <= 19 and luhn(digits) else 0
@@ -128,7 +157,7 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[int, ...]:
         shape = 1 if re.fullmatch(r"[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}", span) else 2
     else:
         pattern = 1 if span.startswith("+") else 2
-        gazetteer = 1 if re.match(r"\+?1?[\x20(]*[2-9]", span) else 2
+        gazetteer = 1 if _listed_number(span, digits) else 2
         shape = 1 if 10 <= len(digits) <= 13 else 0
     near = before + " " + after
     return pattern, gazetteer, 1 if _CUES[kind].search(near) else 2, 0 if _AGAINST.search(before) else 2, shape
@@ -146,14 +175,20 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     """Base spans and the loose ones that overlap none of any kind, in order of place."""
     found = [(k, a, b, True) for k, a, b in base]
     if "(" in text or "[" in text or "{" in text or _DIGIT.search(text):
-        taken = sorted((a, b) for _, a, b in base)
+        taken: list[tuple[int, int]] = []  # disjoint and in order
+        for a, b in sorted((a, b) for _, a, b in base):
+            if taken and a < taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+            else:
+                taken.append((a, b))
         for kind, pattern in _LOOSE:
             if kind == "email" and "at" not in text.lower():
                 continue
             for m in pattern.finditer(text):
-                if not any(a < m.end() and m.start() < b for a, b in taken):
+                at = bisect.bisect_left(taken, (m.end(),))
+                if not at or taken[at - 1][1] <= m.start():
                     found.append((kind, *m.span(), False))
-                    taken.append(m.span())
+                    taken.insert(at, m.span())
     return found
 
 
@@ -244,22 +279,19 @@ def with_candidates(docs: DataFrame, *, text: str = "text", keep_text: bool = Fa
     return docs.mapInArrow(frugal(run), ", ".join([*fields, f"`{name}` {_FOUND_SQL}"]))
 
 
-def learn(found: DataFrame, *, name: str = "spans", max_patterns: int = 100_000) -> dict[str, float]:
-    """Acceptance per feature key, from the candidates of all documents."""
-    each = found.select(F.explode(name).alias("s")).select("s.kind", "s.votes", "s.key")
-    rows = each.groupBy("kind", "votes", "key").count().limit(max_patterns).collect()
-    as_votes = lambda v: tuple(map(int, v))
-    summed: dict[tuple[str, tuple[int, ...]], float] = {}
-    for r in rows:
-        k = (r.kind, as_votes(r.votes))
-        summed[k] = summed.get(k, 0.0) + r["count"]
-    post = reliabilities([(k, v, n) for (k, v), n in sorted(summed.items())])
-    keys: dict[str, list[float]] = {}
-    for r in rows:
-        held = keys.setdefault(r.key, [0.0, 0.0])
-        held[0] += r["count"]
-        held[1] += r["count"] * post[r.kind, as_votes(r.votes)]
-    return span_classifier([(k, n, s / n) for k, (n, s) in sorted(keys.items())])
+def learn(found: DataFrame, *, name: str = "spans") -> dict[str, float]:
+    """Acceptance per feature key, from the candidates of all documents.
+
+    Two sums reach the driver, whose rows are bounded by what labelers and
+    features can say: a row for each vote pattern, then one for each key.
+    """
+    each = found.select(F.explode(name).alias("s")).select("s.kind", "s.votes", "s.key").groupBy("kind", "votes", "key").agg(F.count("*").alias("n"))
+    each = saved(each, "votes")
+    patterns = each.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
+    post = reliabilities([(r.kind, tuple(map(int, r.votes)), r.n) for r in sorted(patterns, key=lambda r: (r.kind, r.votes))])
+    known = found.sparkSession.createDataFrame([(k, "".join(map(str, v)), p) for (k, v), p in post.items()], "kind string, votes string, post double")
+    keys = each.join(F.broadcast(known), ["kind", "votes"]).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("post")).alias("s")).collect()
+    return span_classifier([(r.key, float(r.n), r.s / r.n) for r in sorted(keys, key=lambda r: r.key)])
 
 
 def accepted(found: DataFrame, accept: dict[str, float], *, name: str = "spans", least: float = 0.5) -> DataFrame:
