@@ -111,9 +111,10 @@ def op5_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(table(spark, sf_dir, "embeddings"))
 
 
+# what is left of a page when head, menu, advert, footer and comments are cut away
 @query(r"""
-WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?is)<article[^>]*>(.*?)(?:</article>|$)', 1) AS body FROM pages),
-b AS (SELECT page_id, url, unnest(regexp_split_to_array(body, '(?i)</?(?:h1|p|br)>')) AS block, generate_subscripts(regexp_split_to_array(body, '(?i)</?(?:h1|p|br)>'), 1) AS i FROM a),
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<head>.*?</head>|<nav>.*?</nav>|<div class="ad">.*?</div>|<footer>.*?(?:</footer>|$)|<(script|style)[^>]*>.*?</(script|style)>', chr(10) || '<br>', 'g') AS body FROM pages),
+b AS (SELECT page_id, url, unnest(regexp_split_to_array(body, '(?i)</?(?:h1|p|br|article|body|html)[^>]*>')) AS block, generate_subscripts(regexp_split_to_array(body, '(?i)</?(?:h1|p|br|article|body|html)[^>]*>'), 1) AS i FROM a),
 t AS (SELECT page_id, url, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(block, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS line FROM b),
 j AS (SELECT page_id, url, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE line <> ''), '') AS text FROM t GROUP BY page_id, url)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM j
