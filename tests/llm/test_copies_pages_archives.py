@@ -319,19 +319,59 @@ def test_records_of_any_bytes():
     plain = b"".join(map(record, bodies))
     members = b"".join(gzip.compress(record(b)) for b in bodies)
     for data in (plain, gzip.compress(plain), members):
-        assert [b for _, b in warc.records(data)] == bodies
+        assert [(b, whole) for _, b, whole in warc.records(data)] == [(b, True) for b in bodies]
+
+
+def test_keys_in_record_ids():
+    for key in ("5", "a:b", "x\r\nWARC-Type: response", "é/%41", "None", "", None):
+        assert warc.key_of(f"<{warc.record_key(key, 7)}>") == key and "\r" not in warc.record_key(key, 7)
+    assert warc.key_of("<urn:uuid:1>") == "<urn:uuid:1>" and warc.key_of(None) is None
+
+
+def http_record(body, kind="response", **fields):
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+    return (f"WARC/1.1\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+
+def test_damaged_archives_never_raise():
+    good = http_record(b"HTTP/1.1 200 OK\r\n\r\nbody", WARC_Record_ID="<a>")
+    bad_length = good.replace(b"Content-Length: 23", b"Content-Length: many")
+    odd_header = good.replace(b"<a>", b"<\xff\xfe>")
+    rows = [*warc.file_rows(good + bad_length + good + odd_header, True)]
+    assert [r["payload"] for r in rows] == [b"body", None, b"body", b"body"] and rows[1]["payload_bytes"] == -1
+    cut = [*warc.file_rows(good + good[:-10], True)]
+    assert [r["payload"] for r in cut] == [b"body", None]
+    packed = gzip.compress(good)
+    assert [r["payload"] for r in warc.file_rows(packed + b"\0" * 700 + packed, True)] == [b"body"] * 2  # padding
+    broken = packed[:-12] + b"\x99" * 12
+    assert [r["payload"] for r in warc.file_rows(packed + broken + packed, True)].count(b"body") >= 2
+    assert [*warc.file_rows(b"WARC/1.1 and nothing else", True)][0]["payload"] is None and [*warc.file_rows(b"", True)] == []
+
+
+@given(st.binary(max_size=400), st.integers(0, 400), st.integers(0, 255))
+@settings(max_examples=200, deadline=None)
+def test_any_bytes_are_read(noise, at, byte):
+    data = bytearray(http_record(b"HTTP/1.1 200 OK\r\n\r\nbody", WARC_Record_ID="<a>") * 3)
+    data[min(at, len(data) - 1)] = byte
+    packed = bytearray(gzip.compress(bytes(data)))
+    packed[min(at, len(packed) - 1)] = byte
+    for found in (noise, bytes(data) + noise, bytes(packed) + noise, gzip.compress(noise) + noise):
+        for row in warc.file_rows(found, True):
+            assert row["kind"] in ("response", "revisit", "continuation", "unreadable")
 
 
 def test_archive_round_trip(spark, tmp_path):
     long = "é€𝄞" * 9000 + "\r\n\r\nWARC/1.1\r\n\r\n"
     rows = [(1, "https://a.com/x y", "p" * 99), (2, None, "p" * 99), (3, "u", long), (4, "u", long), (5, "u", None), (6, "u", ""), (7, "u", "q" * 100), (8, "u", "q" * 100), (8, "u", "q" * 100), (None, "u", "n" * 200)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("clash"))
-    path = f"file://{tmp_path}/w"
-    warc.write_archive(pages, path, segment_bytes=1000, chunk_bytes=100)
-    got = warc.read_archive(spark, path, keep_payload=True).collect()
-    assert len(got) == len(rows) and all(r.valid for r in got)
-    assert sorted((r.payload.decode() for r in got if r.kind == "response")) == sorted(["p" * 99, "p" * 99, long, "", "", "q" * 100, "n" * 200])
-    raw = b"".join(gzip.open(p).read() for p in tmp_path.glob("w/part-*"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"key": F.lit("clash"), "digest": F.lit("clash"), "row": F.lit(1)})
+    # segments joined where they are read, in the shuffle, and across files
+    for i, (held, records) in enumerate([(1 << 24, 8000), (0, 8000), (1 << 24, 3)]):
+        path = f"file://{tmp_path}/w{i}"
+        warc.write_archive(pages, path, segment_bytes=1000, chunk_bytes=100, file_records=records)
+        got = warc.read_archive(spark, path, keep_payload=True, held_bytes=held).collect()
+        assert len(got) == len(rows) and all(r.valid for r in got)
+        assert sorted((r.payload.decode() for r in got if r.kind == "response")) == sorted(["p" * 99, "p" * 99, long, "", "", "q" * 100, "n" * 200])
+    raw = b"".join(gzip.open(p).read() for p in tmp_path.glob("w0/part-*"))
     assert raw.count(b"WARC-Type: continuation") > 50
     report = {(r.page_id, r.record_type, r.refers_to) for r in warc.archive_report(pages).collect()}
     assert report == {(1, "response", None), (2, "response", None), (3, "response", None), (4, "revisit", 3), (5, "response", None), (6, "response", None), (7, "response", None), (8, "revisit", 7), (None, "response", None)}
@@ -339,6 +379,26 @@ def test_archive_round_trip(spark, tmp_path):
     assert next(r.payload_digest for r in warc.archive_report(pages).collect() if r.page_id == 4) == hashlib.sha256(long.encode()).hexdigest()
 
 
+def test_a_revisit_is_as_good_as_its_response(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    name = hashlib.sha256(b"body").hexdigest()
+    stored = http_record(body, WARC_Record_ID="<a>", WARC_Payload_Digest=f"sha-256:{name}")
+    false = http_record(body, WARC_Record_ID="<b>", WARC_Payload_Digest=f"sha-256:{'0' * 64}")
+    again = [http_record(b"", "revisit", WARC_Record_ID=f"<{c}>", WARC_Payload_Digest=f"sha-256:{d}") for c, d in (("c", name), ("d", "0" * 64))]
+    part = http_record(body[:5], WARC_Record_ID="<e>", WARC_Segment_Number=1)
+    (tmp_path / "part-0").write_bytes(stored + false + b"".join(again) + part)
+    got = {r.key: r for r in warc.read_archive(spark, f"file://{tmp_path}").collect()}
+    assert {k: (r.valid, r.payload_bytes, r.refers) for k, r in got.items()} == {"<a>": (True, 4, None), "<b>": (False, -1, None), "<c>": (True, 4, "<a>"), "<d>": (False, -1, None), "<e>": (False, -1, None)}
+
+
+def test_the_query_writes_continuations(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = warc.scratch_path(spark, "archive")
+    warc.write_archive(pages, path)
+    text = spark.read.option("wholetext", True).text(path).agg(F.sum(F.regexp_count("value", F.lit("WARC-Type: continuation"))).alias("n")).first()
+    assert text.n >= pages.count() // 2
+
+
 # html
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a>Menu</a></nav><div class="cookie-notice">ok?</div>
