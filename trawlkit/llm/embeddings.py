@@ -1,11 +1,19 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-``PIVOTS`` reference vectors are drawn from the data (a bounded sample, by hash).
-A vector is described by the ordered list of its ``NEAREST`` nearest pivots, and
-enters an inverted list for every pair of pivots in it, so that two vectors
-meet if and only if they share at least two pivots. Where a pair meets in
-several lists, the list of the two first shared pivots counts it. Candidates
-are verified by their cosine in double precision.
+Reference vectors (pivots) are drawn from the data, from a bounded sample by
+hash; their number grows with the root of the number of vectors
+(:func:`index_plan`). A vector is described by its permutation, the ordered list
+of its nearest pivots. Two vectors are candidates if they share at least
+``shared`` of them and if the places of the shared ones differ by no more than
+half the permutation's length on average. Permutations are read as sets under
+one order of the pivots: vectors that share ``shared`` pivots have their first
+two shared ones within the first ``nearest - shared + 2`` of both. So a vector
+enters an inverted list for each pair of those, and the list of a pair's first two
+shared pivots alone counts it.
+
+The lists hold permutations, not vectors. Each list tells which of its vectors
+have a candidate at all; only those meet again with their vectors, and only
+candidate pairs get a cosine, in double precision.
 
 Equal vectors of one label are one class, compared once. A list longer than
 ``list_rows`` is split into blocks and the pairs of blocks go to different
@@ -18,22 +26,44 @@ reported.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite
 components, or whose label is null, links with nothing; repeated rows link with
-each other; an empty table gives an empty result.
+each other; null keys are rows like others; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.llm.common import blocked, group_edges, hash_order, saved
+from trawlkit.llm.common import blocked, frugal, group_edges, hash_order, saved, whole_groups
 from trawlkit.llm.components import components, smallest_of_group, spanning_forest
 
-PIVOTS, NEAREST, COSINE, LIST_ROWS = 64, 6, 0.93, 4_000
+COSINE, LIST_ROWS = 0.93, 4_000
+_STEP, _PAIRS = 1024, 50_000
+
+
+@dataclass(frozen=True)
+class IndexPlan:
+    pivots: int
+    nearest: int  #: pivots in a permutation
+    shared: int  #: pivots that candidates have in common
+
+    @property
+    def prefix(self) -> int:
+        return self.nearest - self.shared + 2
+
+
+def index_plan(vectors: int) -> IndexPlan:
+    """64 pivots up to 2^18 vectors, then four times as many for each 16 times the vectors, with longer permutations."""
+    steps = min(5, max(0, math.ceil(math.log(max(vectors, 1) / (1 << 18), 16))))
+    return IndexPlan(64 << 2 * steps, 8 + 2 * steps, 4 if not steps else 5)
 
 
 def usable(vector: str, label: str):
@@ -46,9 +76,7 @@ def usable(vector: str, label: str):
 class Pivots:
     """Pivots per vector length; lengths that the sample lacks get random directions."""
 
-    def __init__(self, sample: list[list[float]], count: int = PIVOTS, seed: int = 0):
-        if not 2 <= count <= 64:
-            raise ValueError("pivots are kept as bits of one word: 2 to 64")
+    def __init__(self, sample: list[list[float]], count: int, seed: int = 0):
         self.count, self.seed = count, seed
         self.by_length: dict[int, np.ndarray] = {}
         for n in {len(v) for v in sample}:
@@ -56,123 +84,171 @@ class Pivots:
 
     def _full(self, n: int, own: np.ndarray) -> np.ndarray:
         more = np.random.default_rng([self.seed, n]).standard_normal((self.count - len(own), n))
-        rows = np.concatenate((own.reshape(-1, n), more))
-        # scaled by the largest part first, so that no square overflows
-        rows = rows / np.abs(rows).max(1, keepdims=True)
-        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+        return unit_rows(np.concatenate((own.reshape(-1, n), more)))
 
     def nearest(self, unit: np.ndarray, k: int) -> np.ndarray:
         """[row, place]: the numbers of the ``k`` nearest pivots, nearest first."""
         n = unit.shape[1]
         if n not in self.by_length:
             self.by_length[n] = self._full(n, np.zeros((0, n)))
-        return np.argsort(-(unit @ self.by_length[n].T), axis=1, kind="stable")[:, : min(k, self.count)]
+        return np.argsort(-(unit @ self.by_length[n].T), axis=1, kind="stable")[:, :k].astype(np.uint16)
 
 
 def unit_rows(rows: np.ndarray) -> np.ndarray:
+    # scaled by the largest part first, so that no square overflows
     rows = rows / np.abs(rows).max(1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _describe(pivots, nearest: int):
+def _describe(pivots, plan: IndexPlan):
+    """Rows (key, label, lab, vector) with a digest of the vector, its length and its permutation."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(v) for v in batch.column(1)])
-            masks = np.zeros(batch.num_rows, dtype=np.uint64)
+            vectors = [np.array(v.as_py(), dtype=np.float64) for v in batch.column(3)]
+            lengths = np.array([len(v) for v in vectors], dtype=np.int64)
+            perms = np.zeros((batch.num_rows, plan.nearest), dtype=np.uint16)
             for n in np.unique(lengths):
                 at = np.flatnonzero(lengths == n)
-                unit = unit_rows(np.array([batch.column(1)[int(i)].as_py() for i in at], dtype=np.float64))
-                masks[at] = np.bitwise_or.reduce(np.uint64(1) << pivots.value.nearest(unit, nearest).astype(np.uint64), axis=1)
-            lists = []
-            for m in masks.tolist():
-                bits = [i for i in range(64) if m >> i & 1]
-                lists.append([a * 64 + b for i, a in enumerate(bits) for b in bits[i + 1 :]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks.view(np.int64)), pa.array(lists, type=pa.list_(pa.int32()))], names=["cls", "mask", "lists"])
+                perms[at] = pivots.value.nearest(unit_rows(np.stack([vectors[i] for i in at])), plan.nearest)
+            digests = [hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest() for v in vectors]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, type=pa.binary()), pa.array(lengths), pa.array([p.tobytes() for p in perms], type=pa.binary())], names=["key", "label", "lab", "vector", "digest", "length", "perm"])
+
+    return run
+
+
+def list_pairs(plan: IndexPlan, perm: np.ndarray) -> np.ndarray:
+    """[row, list]: the inverted lists of permutations, each named by two pivots."""
+    low = np.sort(perm.astype(np.int64), axis=1)[:, : plan.prefix]
+    a, b = np.triu_indices(plan.prefix, 1)
+    return low[:, a] * plan.pivots + low[:, b]
+
+
+def _listed(plan: IndexPlan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = list_pairs(plan, _perms(batch.column(1), plan.nearest))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([*lists], type=pa.list_(pa.int64()))], names=["cls", "perm", "lab", "length", "lists"])
 
     return run
 
 
-def _verify(cosine: float):
-    def group(key, cls, mask, copies, own, cross, unit, counts, a, b):
-        step = 1024
-        for i in range(0, len(cls), step):
-            for j in range(i, len(cls), step):
-                x, y = np.nonzero(unit[i : i + step] @ unit[j : j + step].T >= cosine)
+def _perms(column, nearest: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, nearest)
+
+
+def candidates(x: np.ndarray, y: np.ndarray, plan: IndexPlan, pair: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the permutations ``x`` and ``y`` that are candidates and whose first two shared pivots are ``pair``."""
+    values, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    marks = np.zeros((len(x) + len(y), len(values)), dtype=np.float32)
+    np.put_along_axis(marks, at.reshape(len(marks), -1), 1, axis=1)
+    i, j = np.nonzero(marks[: len(x)] @ marks[len(x) :].T >= plan.shared)
+    place = np.arange(plan.nearest)
+    apart = np.abs(place[:, None] - place[None, :])
+    for lo in range(0, len(i), _PAIRS):
+        p, q = i[lo : lo + _PAIRS], j[lo : lo + _PAIRS]
+        equal = x[p][:, :, None] == y[q][:, None, :]
+        near = 2 * (equal * apart).sum((1, 2)) <= plan.nearest * equal.sum((1, 2))
+        first = np.partition(np.where(equal.any(2), x[p].astype(np.int64), plan.pivots), 1, axis=1)[:, :2]
+        good = near & (first[:, 0] * plan.pivots + first[:, 1] == pair)
+        yield p[good], q[good]
+
+
+def _blocks(perm: np.ndarray, own: np.ndarray, cross: bool, plan: IndexPlan, pair: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs within a list, each once."""
+    for i in range(0, len(perm), _STEP):
+        for j in range(i, len(perm), _STEP):
+            for x, y in candidates(perm[i : i + _STEP], perm[j : j + _STEP], plan, pair):
                 x, y = x + i, y + j
                 good = x < y
                 if cross:
                     good &= own[x] != own[y]
-                x, y = x[good], y[good]
-                if not len(x):
-                    continue
-                shared = mask[x] & mask[y]
-                first = shared & (~shared + np.uint64(1))
-                rest = shared ^ first
-                second = rest & (~rest + np.uint64(1))
-                here = (first | second) == key
-                x, y = x[here], y[here]
-                np.add.at(counts, x, copies[y])
-                np.add.at(counts, y, copies[x])
-                p, q = spanning_forest(cls[x], cls[y])
-                a.append(p)
-                b.append(q)
-
-    def links(cols: list[np.ndarray], vectors: list[list[float]]) -> pa.RecordBatch | None:
-        _, _, pair, bx, by, own, cls, mask, copies = cols
-        cuts = [*np.flatnonzero(group_edges(cols[:5])), len(cls)]
-        counts = np.zeros(len(cls), dtype=np.int64)
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        for lo, hi in zip(cuts, cuts[1:]):
-            if hi - lo > 1:
-                key = (np.uint64(1) << np.uint64(pair[lo] // 64)) | (np.uint64(1) << np.uint64(pair[lo] % 64))
-                held = np.zeros(hi - lo, dtype=np.int64)
-                group(key, cls[lo:hi], mask[lo:hi].view(np.uint64), copies[lo:hi], own[lo:hi], bx[lo] != by[lo], unit_rows(np.array(vectors[lo:hi], dtype=np.float64)), held, a, b)
-                counts[lo:hi] = held
-        if not a:
-            return None
-        p, q = spanning_forest(np.concatenate(a), np.concatenate(b))
-        ids, at = np.unique(cls, return_inverse=True)
-        n = np.bincount(at, weights=counts).astype(np.int64)
-        ids, n = ids[n > 0], n[n > 0]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((p, ids))), pa.array([*q.tolist(), *[None] * len(ids)], type=pa.int64()), pa.array(np.concatenate((np.zeros(len(p), dtype=np.int64), n)))], names=["a", "b", "n"])
+                if good.any():
+                    yield x[good], y[good]
+
+
+_PLACE = ["lab", "length", "pair", "bx", "by"]
+
+
+def _groups(batch: pa.RecordBatch, plan: IndexPlan):
+    """(slice, pair, own, whether blocks differ, cls, permutations) of each list in ``batch``: the columns of _PLACE, own, cls, perm first."""
+    cols = [np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(7)]
+    perm = _perms(batch.column(7), plan.nearest)
+    cuts = [*np.flatnonzero(group_edges(cols[:5])).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi - lo > 1:
+            yield slice(lo, hi), cols[2][lo], cols[5][lo:hi], cols[3][lo] != cols[4][lo], cols[6][lo:hi], perm[lo:hi]
+
+
+def _marks(plan: IndexPlan):
+    """(lab, length, pair, cls) of the vectors that have a candidate in a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        rest_vectors: list[list[float]] = []
-        for batch in batches:
-            cols = [np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(9)]
-            vectors = rest_vectors + batch.column(9).to_pylist()
-            if rest:
-                cols = [np.concatenate(z) for z in zip(rest, cols)]
-            full = int(np.flatnonzero(group_edges(cols[:5]))[-1])
-            rest, rest_vectors = [c[full:] for c in cols], vectors[full:]
-            if full and (found := links([c[:full] for c in cols], vectors[:full])) is not None:
-                yield found
-        if rest and (found := links(rest, rest_vectors)) is not None:
-            yield found
+        for batch in whole_groups(batches, 5):
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for where, pair, own, cross, _, perm in _groups(batch, plan):
+                for x, y in _blocks(perm, own, cross, plan, pair):
+                    keep[where.start + x] = keep[where.start + y] = True
+            kept = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([kept.column(i) for i in (0, 1, 2, 6)], names=["lab", "length", "pair", "cls"])
+
+    return run
+
+
+def _verify(cosine: float, plan: IndexPlan):
+    """Forest links (a, b, 0) and link counts (cls, null, n) from lists with vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, 5):
+            copies = np.ascontiguousarray(batch.column(8).to_numpy(zero_copy_only=False))
+            counts = np.zeros(batch.num_rows, dtype=np.int64)
+            a: list[np.ndarray] = []
+            b: list[np.ndarray] = []
+            for where, pair, own, cross, cls, perm in _groups(batch, plan):
+                unit = unit_rows(np.array(batch.column(9)[where.start : where.stop].to_pylist(), dtype=np.float64))
+                for x, y in _blocks(perm, own, cross, plan, pair):
+                    good = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
+                    x, y = x[good], y[good]
+                    np.add.at(counts, where.start + x, copies[where][y])
+                    np.add.at(counts, where.start + y, copies[where][x])
+                    p, q = spanning_forest(cls[x], cls[y])
+                    a.append(p)
+                    b.append(q)
+            if not a:
+                continue
+            p, q = spanning_forest(np.concatenate(a), np.concatenate(b))
+            ids, at = np.unique(np.ascontiguousarray(batch.column(6).to_numpy(zero_copy_only=False)), return_inverse=True)
+            n = np.bincount(at, weights=counts).astype(np.int64)
+            ids, n = ids[n > 0], n[n > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((p, ids))), pa.array([*q.tolist(), *[None] * len(ids)], type=pa.int64()), pa.array(np.concatenate((np.zeros(len(p), dtype=np.int64), n)))], names=["a", "b", "n"])
 
     return run
 
 
-def vector_groups(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, pivots: int = PIVOTS, nearest: int = NEAREST, list_rows: int = LIST_ROWS) -> DataFrame:
+def vector_groups(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, plan: IndexPlan | None = None, list_rows: int = LIST_ROWS) -> DataFrame:
     """One row per vector: the key, n_links, component_id, kept."""
     spark = rows.sparkSession
+    plan = plan or index_plan(rows.count())
     rows = rows.select(F.col(key).alias("key"), F.col(vector).alias("vector"), F.col(label).alias("label"), usable(vector, label).alias("good"))
-    classes = rows.filter("good").groupBy("label", "vector").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
-    classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    sample = [r.vector for r in classes.orderBy(hash_order("rep"), "cls").select("vector").limit(pivots).collect()]
-    found = spark.sparkContext.broadcast(Pivots(sample, pivots))
-    described = saved(classes.select("cls", "vector").mapInArrow(_describe(found, nearest), "cls long, mask long, lists array<int>"), "described")
-    # labels are compared as text, whatever their type
-    listed = described.join(classes, "cls").select(F.xxhash64(F.col("label").cast("string")).alias("lab"), F.size("vector").alias("length"), F.explode("lists").alias("pair"), "cls", "mask", "copies", "vector", "label")
-    place = ["lab", "length", "pair", "bx", "by"]
-    dealt = blocked(listed.drop("label"), place[:3], "cls", list_rows).select(*place, "own", "cls", "mask", "copies", "vector").repartition(*place).sortWithinPartitions(*place)
-    links = saved(dealt.mapInArrow(_verify(cosine), "a long, b long, n long"), "vlinks")
+    usables = rows.filter("good").select("key", "label", F.xxhash64(F.col("label").cast("string")).alias("lab"), "vector")
+    drawn = [r.vector for r in usables.orderBy(hash_order("key")).select("vector").limit(2 * plan.pivots).collect()]
+    found = spark.sparkContext.broadcast(Pivots([*map(list, dict.fromkeys(map(tuple, drawn)))], plan.pivots))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in usables.schema.fields)
+    described = saved(usables.mapInArrow(frugal(_describe(found, plan)), f"{schema}, digest binary, length long, perm binary"), "described")
+    # equal vectors of a label are one class; lists are told apart by the label's text
+    same = described.groupBy("label", "digest").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("lab").alias("lab"), F.first("length").alias("length"), F.first("perm").alias("perm"))
+    classes = saved(same.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    lists = classes.select("cls", "perm", "lab", "length").mapInArrow(_listed(plan), "cls long, perm binary, lab long, length long, lists array<long>")
+    listed = lists.select("lab", "length", F.explode("lists").alias("pair"), "cls", "perm")
+    dealt = lambda df, *more: blocked(df, _PLACE[:3], "cls", list_rows).select(*_PLACE, "own", "cls", "perm", *more).repartition(*_PLACE).sortWithinPartitions(*_PLACE)
+    marks = saved(dealt(listed).mapInArrow(_marks(plan), "lab long, length long, pair long, cls long").distinct(), "marks")
+    wanted = classes.join(marks.select("cls").distinct(), "cls").select("cls", "label", "digest", "perm", "copies")
+    held = described.select("label", "digest", "vector").join(wanted, ["label", "digest"]).groupBy("cls").agg(*(F.first(c).alias(c) for c in ("perm", "copies", "vector")))
+    links = saved(dealt(marks.join(held, "cls"), "copies", "vector").mapInArrow(_verify(cosine, plan), "a long, b long, n long"), "vlinks")
     counts = links.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     roots = components(links.filter("b is not null").select("a", "b")).withColumnRenamed("node", "cls")
     member = classes.join(counts, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    known = smallest_of_group(member, "rep", "component").select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
-    linked = rows.filter("good").join(known, ["label", "vector"]).select("key", "n_links", F.col("component").alias("component_id"))
+    known = smallest_of_group(member, "rep", "component").select("label", "digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+    linked = described.select("key", "label", "digest").join(known, ["label", "digest"]).select("key", "n_links", F.col("component").alias("component_id"))
     alone = rows.filter("not good").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
     return linked.unionByName(alone).select(F.col("key").alias(key), "n_links", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
