@@ -11,6 +11,7 @@ from trawlkit.operators.frontier import crawl, frontier, keyword_points, links,
 from trawlkit.operators.parse import parse_page, parse_pages
 from trawlkit.plans import results
 from trawlkit.plans.scrape import scrape_contacts
+from trawlkit.sources import scratch
 from trawlkit.sources.files import read_fetches, write_csv, write_json
 from trawlkit.sources.tasks import Client, changed_since, with_status
 from trawlkit.streaming import contacts as streaming
@@ -97,6 +98,36 @@ def test_filters_and_pages(spark):
     assert results.apply_view(df, None, ("error",)).columns == ["domain", "emails"]
 
 
+def test_pages_are_cut_from_the_sorted_rows(spark):
+    rows = [(f"d{i:02d}", (i * 37) % 60 // 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "domain string, score int")
+    order = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    for n in (1, 2, 3):
+        assert [r.domain for r in results.request(df, page=n, sort="score").collect()] == order[25 * n - 25 : 25 * n]
+    nulls = spark.createDataFrame([("a", None), ("b", 2), ("c", 1)], "domain string, score int")
+    assert [r.domain for r in results.request(nulls, page=1, per_page=2, sort="score").collect()] == ["c", "b"]
+
+
+def test_links_and_fetches_have_one_key(spark):
+    hrefs = ["https://www.a.com/x?q=a%20b", "https://a.com/x?u=a/b&utm_source=z", "https://a.com/x?q=a+b"]
+    html = "".join(f"<a href='{u}'>x</a>" for u in hrefs)
+    parsed = parse_pages(spark.createDataFrame([("a.com", 0, "https://a.com/", html)], "site string, page_seq int, url string, html string"))
+    assert [r.url_norm for r in links(parsed).orderBy("seq").collect()] == [normalized(u) for u in hrefs]
+
+
+def test_scratch_is_shared_off_local_mode():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Session.conf)
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Session)
+
+
 def test_tasks(spark, tmp_path):
     client = Client(spark, f"file://{tmp_path}")
     made = client.create(7, [" a.com ", "", "a.com", "b.com"])

@@ -120,7 +120,6 @@ def test_normalized_is_idempotent(text):
 def test_normalized_forms(spark):
     urls_in = ["http://WWW.Acme.com/a/?utm_source=x&b=2&a=1#f", "acme.com", "https://acme.com/a?x"]
     assert [urls.normalized(u) for u in urls_in] == ["https://acme.com/a?a=1&b=2", "https://acme.com", "https://acme.com/a?x="]
-    assert column(spark, urls_in, urls.normalize_plain_url) == ["https://acme.com/a?a=1&b=2", "https://acme.com", "https://acme.com/a?x="]
     assert column(spark, urls_in, urls.normalize_url) == ["https://acme.com/a?a=1&b=2", "https://acme.com", "https://acme.com/a?x="]
 
 

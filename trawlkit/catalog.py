@@ -17,9 +17,11 @@ from trawlkit.functions.emails import decoded_cfemail, email_bonus, false_email,
 from trawlkit.functions.rules import java
 from trawlkit.functions.socials import vendor_credit, with_profile
 from trawlkit.functions.text import digits, fold_accents, html_text, scan_safe
-from trawlkit.functions.urls import flip_www, followable, keyword_score, link_score, normalize_plain_url, region_of, registrable_domain, seed_host, seed_urls, site_label, url_host, url_path, weight_class
+from trawlkit.functions.urls import flip_www, followable, keyword_score, link_score, normalize_url, region_of, registrable_domain, seed_host, seed_urls, site_label, url_host, url_path, weight_class
 from trawlkit.operators import frontier as fr
+from trawlkit.operators.merge import entries
 from trawlkit.operators.parse import parse_pages
+from trawlkit.operators.phones import is_junk, shown_numbers
 from trawlkit.plans import results
 from trawlkit.plans.contacts import contacts, error_rows
 from trawlkit.plans.scrape import scrape_contacts
@@ -83,6 +85,46 @@ def _email_list(spark, sf_dir):
     return results.email_list(contacts(pages_of(_t(spark, sf_dir, "pages"))))
 
 
+def _made_pages(spark, sf_dir) -> DataFrame:
+    """Three pages for a site of each supplier, with what a site of a small firm shows."""
+    k = F.col("s_suppkey").cast("string")
+    place = lambda text: F.expr("concat('" + text.replace("'", "\\'").replace("{k}", "', s_suppkey, '") + "')")
+    home = "<title> Site {k} </title><meta name=description content='About {k}'><nav><a href='/about'>About us</a><a href='/contact/'>Contact</a><a href='/a.pdf'>File</a><a href='/cart'>Cart</a><a href='//other.org/contact'>Other</a></nav><p>Write to INFO@s{k}.com</p><footer><a href='mailto:info@s{k}.com?subject=x'>mail</a><a href='https://m.facebook.com/Acme{k}xx/?ref=1'>f</a></footer>"
+    contact = "<p>sales@s{k}.com, info@s{k}.com, logo@2x.png</p><a href='tel:+1-415-555-2671'>call</a><a href='https://twitter.com/share?url=x'>t</a><a href='https://x.com/acme{k}'>x</a>"
+    about = "<p>joe{k}@gmail.com</p><a href='https://x.com/other{k}'>x</a><a href='/deep?a=b%20c&utm_source=q'>deep</a>"
+    deep = "<p>nobody at all</p>"
+    pages = [("/", home), ("/about", about), ("/contact/", contact), ("/deep?a=b%20c&utm_source=q", deep)]
+    rows = F.array(*(F.struct(F.lit(i).cast("long").alias("page_seq"), F.concat(F.lit("https://s"), k, F.lit(".com" + path)).alias("url"), place(text).alias("html")) for i, (path, text) in enumerate(pages)))
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("s"), k, F.lit(".com")).alias("site"), F.explode(rows).alias("p")).select("s_suppkey", "site", "p.*")
+
+
+_MADE = "(SELECT s_suppkey AS k, 'https://s' || s_suppkey || '.com' AS u FROM supplier)"
+
+
+@query(f"""SELECT 's' || k || '.com' AS domain, 'Site ' || k AS title, 'info@s' || k || '.com, sales@s' || k || '.com, joe' || k || '@gmail.com' AS emails, '+14155552671' AS phones, '' AS linkedins, 'https://x.com/acme' || k || ', https://x.com/other' || k AS twitters,
+ '' AS instagrams, 'https://www.facebook.com/Acme' || k || 'xx' AS facebooks, '' AS youtubes, '' AS githubs, '' AS technologies, CAST(NULL AS VARCHAR) AS error FROM {_MADE}""")
+def contacts_made_overview(spark, sf_dir):
+    """The whole engine over pages whose record is known."""
+    return results.overview(contacts(_made_pages(spark, sf_dir).drop("s_suppkey")))
+
+
+@query(f"""SELECT 's' || k || '.com' AS domain, unnest(['info@s' || k || '.com', 'sales@s' || k || '.com', 'joe' || k || '@gmail.com']) AS email, unnest([true, false, false]) AS is_likely_official, unnest([u || '/, ' || u || '/contact/', u || '/contact/', u || '/about']) AS sources FROM {_MADE}""")
+def contacts_made_email_list(spark, sf_dir):
+    return results.email_list(contacts(_made_pages(spark, sf_dir).drop("s_suppkey")))
+
+
+@query(f"""SELECT k AS seed_id, 's' || k || '.com' AS domain, CAST(i - 1 AS BIGINT) AS page_seq, u || ['', '/contact', '/about', '/deep?a=b+c'][i] AS url_norm, u || ['', '/contact/', '/about', '/deep?a=b%20c&utm_source=q'][i] AS url, CAST([0, 1, 1, 2][i] AS BIGINT) AS depth,
+ ['homepage', 'contact', 'about', 'other'][i] AS weight_class FROM {_MADE}, generate_series(1, 4) AS t(i)
+UNION ALL SELECT s_suppkey + 1000000, 'none' || s_suppkey || '.org', NULL, NULL, NULL, NULL, 'no page: https://none' || s_suppkey || '.org' FROM supplier""")
+def crawl_made(spark, sf_dir):
+    """The crawl of these sites, from hosts as typed; a host without pages is an error."""
+    pages = _made_pages(spark, sf_dir)
+    corpus = pages.select(F.col("s_suppkey").alias("seed_id"), "site", "page_seq", normalize_url(F.col("url")).alias("url_norm"), "url", F.regexp_replace("url", "[.]com/$", ".com").alias("final_url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"), "html")
+    seeds = _t(spark, sf_dir, "supplier").select(F.explode(F.array(F.struct(F.col("s_suppkey").alias("seed_id"), F.concat(F.lit(" S"), F.col("s_suppkey"), F.lit(".com/")).alias("query")), F.struct((F.col("s_suppkey") + 1000000).alias("seed_id"), F.concat(F.lit("none"), F.col("s_suppkey"), F.lit(".org")).alias("query")))).alias("s")).select("s.*")
+    found = fr.crawl(seeds, parse_pages(corpus))
+    return found.select("seed_id", "domain", _long("page_seq").alias("page_seq"), "url_norm", "url", _long("depth").alias("depth"), F.coalesce("weight_class", "error").alias("weight_class"))
+
+
 # html
 
 _SQL_TEXT = "coalesce(html, '')"
@@ -161,7 +203,7 @@ _SQL_NORM = r"""'https://' || regexp_replace(lower(regexp_extract(url, '^[a-z]+:
 
 @query(f"SELECT page_id, {_SQL_NORM} || CASE WHEN url LIKE '%?%' AND url NOT LIKE '%?utm_source=%' THEN '?' || regexp_replace(regexp_extract(url, '\\?([^#]*)', 1), '&ref=x', '') ELSE '' END AS url_norm FROM pages")
 def url_normalized(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", normalize_plain_url(F.col("url")).alias("url_norm"))
+    return _t(spark, sf_dir, "pages").select("page_id", normalize_url(F.col("url")).alias("url_norm"))
 
 
 @query(r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host FROM pages)
@@ -225,7 +267,7 @@ def link_frontier(spark, sf_dir):
 def _own_crawl(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Every host as a seed, its own pages as the corpus. A seed is its host's first page, without scheme, query and fragment."""
     pages = pages_of(_t(spark, sf_dir, "pages"))
-    corpus = pages.withColumns({"seed_id": F.xxhash64("site"), "url_norm": normalize_plain_url(F.col("url")), "final_url": F.col("url"), "status": F.lit(200), "error": F.lit(None).cast("string")})
+    corpus = pages.withColumns({"seed_id": F.xxhash64("site"), "url_norm": normalize_url(F.col("url")), "final_url": F.col("url"), "status": F.lit(200), "error": F.lit(None).cast("string")})
     seeds = pages.groupBy(F.xxhash64("site").alias("seed_id")).agg(F.min_by(F.concat("site", url_path(F.col("url"))), "page_seq").alias("query"))
     return seeds, corpus
 
@@ -282,22 +324,25 @@ def email_bonuses(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", _long(email_bonus(mail, F.lit("acme.co.uk"))).alias("bonus"))
 
 
-@query(f"""WITH h AS (SELECT source AS site, lower(v) AS v, doc_id FROM (SELECT source, doc_id, unnest({_SQL_EMAIL}) AS v FROM documents)),
-k AS (SELECT DISTINCT site, v, doc_id FROM h WHERE NOT ({_SQL_FALSE.replace("'example.com'", "'-'").replace("%.example.com", "-")})),
-e AS (SELECT site, v, count(*) AS n, min(doc_id) AS first_doc FROM k GROUP BY site, v),
+# the tables' addresses are of placeholder hosts, which the engine drops; both engines read them as of another host
+_REAL_HOST = "replace(coalesce(text, ''), 'example.', 'acme-mail.')"
+
+
+@query(f"""WITH h AS (SELECT DISTINCT source AS site, lower(v) AS v, doc_id FROM (SELECT source, doc_id, unnest({_SQL_EMAIL.replace("coalesce(text, '')", _REAL_HOST)}) AS v FROM documents)),
+k AS (SELECT * FROM h WHERE NOT {_SQL_FALSE}),
+e AS (SELECT site, v, count(*) + CASE WHEN regexp_extract(v, '^(.*)@', 1) IN ({", ".join(f"'{w}'" for w in rules.GENERIC_LOCALS)}) THEN 1 ELSE 0 END AS score, min(doc_id) AS first_doc FROM k GROUP BY site, v),
 s AS (SELECT site, v, doc_id, row_number() OVER (PARTITION BY site, v ORDER BY doc_id) AS rn FROM k)
-SELECT e.site, e.v AS email, CAST(n AS BIGINT) AS score, row_number() OVER (PARTITION BY e.site ORDER BY n DESC, first_doc, e.v) AS rank,
- row_number() OVER (PARTITION BY e.site ORDER BY n DESC, first_doc, e.v) = 1 AS is_likely_official,
+SELECT e.site, e.v AS email, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY e.site ORDER BY score DESC, first_doc, e.v) AS rank,
  (SELECT string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY doc_id) FROM s WHERE s.site = e.site AND s.v = e.v AND rn <= 10) AS sources FROM e""")
 def email_ranking(spark, sf_dir):
-    """Addresses per source, ranked by the documents that show them; placeholders of the tables count as real."""
-    docs = _t(spark, sf_dir, "documents")
-    hits = docs.select(F.col("source").alias("site"), "doc_id", F.explode(found_emails(scan_safe(F.coalesce("text", F.lit(""))))).alias("v")).select("site", "doc_id", F.lower("v").alias("v")).distinct()
-    real = hits.filter(~false_email(F.regexp_replace("v", r"\.com$", ".org")))
-    once = real.withColumn("rn", F.row_number().over(Window.partitionBy("site", "v").orderBy("doc_id")))
-    summed = once.groupBy("site", "v").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= rules.SOURCES_SHOWN, F.col("doc_id")))).cast("array<string>"), ", ").alias("sources"))
-    place = F.row_number().over(Window.partitionBy("site").orderBy(F.desc("n"), "first_doc", "v"))
-    return summed.select("site", F.col("v").alias("email"), _long("n").alias("score"), _long(place).alias("rank"), (place == 1).alias("is_likely_official"), "sources")
+    """Addresses of each source, merged and ranked as the pages of a site are; a document is a page."""
+    docs = _t(spark, sf_dir, "documents").withColumn("site", F.col("source"))
+    shown = F.array_sort(F.array_distinct(F.transform(found_emails(scan_safe(F.expr(_REAL_HOST))), F.lower)))
+    each = docs.select("site", F.col("doc_id").alias("page_seq"), F.col("doc_id").cast("string").alias("page_url"), F.posexplode(shown).alias("hit_seq", "value"))
+    no = F.lit(False)
+    hits = each.filter(~false_email(F.col("value"))).withColumns({"field": F.lit("emails"), "key": F.col("value"), "handle": F.lit(None).cast("string"), "from_href": no, "in_footer": no, "region_match": no, "weight": F.lit(1), "is_homepage": no})
+    ranked = entries(hits, docs.select("site", F.col("site").alias("domain")).distinct())
+    return ranked.select("site", F.col("value").alias("email"), _long("score").alias("score"), _long("rank").alias("rank"), F.array_join("sources", ", ").alias("sources"))
 
 
 # phone
@@ -312,19 +357,17 @@ def _phones(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("v")).filter(F.length(digits(F.col("v"))) >= rules.PHONE_DIGITS[0])
 
 
-@query(f"SELECT doc_id, v AS phone, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, {_SQL_PHONE} AS v FROM documents) WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) >= 7 GROUP BY doc_id, v")
+@query(f"""SELECT DISTINCT doc_id, trim(v) AS phone FROM (SELECT doc_id, {_SQL_PHONE} AS v FROM documents)
+WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) >= 7 AND NOT regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')""")
 def phone_extract(spark, sf_dir):
-    return _phones(spark, sf_dir).groupBy("doc_id", F.col("v").alias("phone")).agg(_long(F.count("*")).alias("n"))
+    """Number-like texts of each document, as the engine's own reader finds them."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(shown_numbers(F.coalesce("text", F.lit("")))).alias("phone")).withColumn("phone", F.trim("phone"))
 
 
 @query(f"""WITH h AS (SELECT doc_id, {_SQL_PHONE} AS v FROM documents), d AS (SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM h)
 SELECT doc_id, v AS phone, length(d) > 15 OR len(list_distinct(string_split(d, ''))) = 1 OR {_SQL_JUNK} AS junk FROM d WHERE length(d) >= 7""")
 def phone_junk_filter(spark, sf_dir):
-    v, d = F.col("v"), digits(F.col("v"))
-    bad = (F.length(d) > rules.PHONE_DIGITS[1]) | (F.size(F.array_distinct(F.filter(F.split(d, ""), lambda c: c != ""))) == 1)
-    for p in rules.PHONE_JUNK:
-        bad = bad | v.rlike(p)
-    return _phones(spark, sf_dir).select("doc_id", v.alias("phone"), bad.alias("junk"))
+    return _phones(spark, sf_dir).select("doc_id", F.col("v").alias("phone"), is_junk(F.col("v")).alias("junk"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'GB' WHEN 1 THEN 'DE' WHEN 2 THEN 'AU' END AS region FROM customer")
@@ -406,9 +449,10 @@ def prominence_score(spark, sf_dir):
 @query(f"""WITH {_SQL_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY site, key ORDER BY weight DESC, page) AS rn FROM h)
 SELECT CAST(site AS BIGINT) AS site, key, string_agg(CAST(page AS VARCHAR), ', ' ORDER BY rn) AS sources FROM r WHERE rn <= 10 GROUP BY site, key""")
 def top_sources(spark, sf_dir):
-    shown = Window.partitionBy("site", "key").orderBy(F.desc("weight"), "page")
-    top = _hits(spark, sf_dir).withColumn("rn", F.row_number().over(shown)).filter(F.col("rn") <= rules.SOURCES_SHOWN)
-    return top.groupBy(_long("site").alias("site"), "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "page"))), lambda x: x["page"].cast("string")), ", ").alias("sources"))
+    no = F.lit(False)
+    hits = _hits(spark, sf_dir).select(_long("site").alias("site"), F.col("page").alias("page_seq"), F.col("page").cast("string").alias("page_url"), F.lit(0).alias("hit_seq"), F.lit("githubs").alias("field"), "key", F.col("key").alias("value"), F.lit("").alias("handle"), no.alias("from_href"), no.alias("in_footer"), no.alias("region_match"), "weight", no.alias("is_homepage"))
+    found = entries(hits, hits.select("site", F.lit("none.org").alias("domain")).distinct())
+    return found.select("site", "key", F.array_join("sources", ", ").alias("sources"))
 
 
 @query("SELECT 's' || s_suppkey || '.com' AS domain, left('ConnectionError: ' || s_name, 200) AS error, CAST(0 AS BIGINT) AS n_emails FROM supplier")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trawlkit.functions import rules
 from trawlkit.functions.rules import EDGE, LOW, java, some
+from trawlkit.functions.session import per_session
 from trawlkit.functions.text import unescape_basic
 from trawlkit.functions.urls import SCHEME
 
@@ -235,6 +236,12 @@ def _any_canonical(x: Column) -> Column:
     return found.otherwise(F.lit(None))
 
 
+@per_session
+def _canonical_of_any() -> Column:
+    # seventeen forms in one generated method are more than the compiler takes; a lambda is evaluated as it is
+    return F.get(F.transform(F.array(F.struct(F.col("_platform").alias("platform"), "_cut")), _any_canonical), F.lit(0))
+
+
 def with_profile(df: DataFrame, platform: str | Column, url: str = "value", name: str = "profile") -> DataFrame:
     """``df`` with the canonical profile of column ``url``; redirects are followed twice.
 
@@ -250,9 +257,9 @@ def with_profile(df: DataFrame, platform: str | Column, url: str = "value", name
     if isinstance(platform, str):
         found = canonical(platform, F.col("_cut"))
     else:
-        # seventeen forms in one generated method are more than the compiler takes; a lambda is evaluated as it is
-        found = F.get(F.transform(F.array(F.struct(platform.alias("platform"), "_cut")), _any_canonical), F.lit(0))
-    return df.withColumn(name, found).drop("_to", "_cut")
+        df = df.withColumn("_platform", platform)
+        found = _canonical_of_any()
+    return df.withColumn(name, found).drop("_to", "_cut", "_platform")
 
 
 def only_profiles(df: DataFrame, name: str = "profile") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
@@ -110,8 +111,6 @@ def seed_urls(query: Column) -> Column:
 
 def normalized(url: str | None) -> str | None:
     """Key for visited pages: https, no www, no trailing slash or fragment, parameters sorted, trackers dropped."""
-    import re
-
     if url is None:
         return None
     try:
@@ -126,20 +125,10 @@ def normalized(url: str | None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def normalize_url(urls: pd.Series) -> pd.Series:
-    """:func:`normalized` for any url, percent-coding included."""
+    """:func:`normalized` as a column: the one key of a url, on both sides of the crawl."""
     return urls.map(normalized, na_action="ignore")
 
 
-def normalize_plain_url(url: Column) -> Column:
-    """The same without leaving the JVM, for queries that carry no percent-codes or plus signs."""
-    params = F.filter(F.split(url_query(url), "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).rlike(java(rules.TRACKING_PARAM)))
-    params = F.transform(params, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))
-    query = F.array_join(F.array_sort(params), "&")
-    host = without_www(F.lower(F.regexp_extract(F.regexp_replace(url, r"^[^:/?#]*://", ""), r"^([^/?#]*)", 1)))
-    base = F.concat(F.lit("https://"), host, F.regexp_replace(url_path(url), "/+$", ""))
-    return F.when(query == "", base).otherwise(F.concat(base, F.lit("?"), query))
-
-
 # links of the crawl frontier
 
 
@@ -169,8 +158,6 @@ def followable(url: Column) -> Column:
 
 def registrable_name(host: str) -> str:
     """:func:`registrable_host` for one host, for code that runs outside expressions."""
-    import re
-
     labels = host.lower().split(".")
     last = labels[-1]
     if len(labels) > 1 and re.fullmatch("[a-z][a-z0-9-]+", last) and last not in PRIVATE_TOPS:

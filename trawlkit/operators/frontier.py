@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from trawlkit.functions import rules
 from trawlkit.functions.rules import java
 from trawlkit.functions.text import scan_safe
-from trawlkit.functions.urls import followable, keyword_score, link_score, normalize_plain_url, normalized, registrable_domain, registrable_name, url_path
+from trawlkit.functions.urls import followable, keyword_score, link_score, normalize_url, normalized, registrable_domain, registrable_name, url_path
 
 
 def links(parsed: DataFrame, depth: int = 1) -> DataFrame:
@@ -27,7 +27,7 @@ def links(parsed: DataFrame, depth: int = 1) -> DataFrame:
     each = parsed.select("site", "page_seq", "url", F.explode("anchors").alias("a")).select("site", "page_seq", "url", "a.*").filter(F.col("resolved").isNotNull())
     kept = each.filter(followable(F.col("resolved")) & (registrable_domain(F.col("resolved")) == registrable_domain(F.col("url"))))
     path = url_path(F.col("resolved"))
-    return kept.withColumns({"keyword": keyword_score(path, F.col("text")), "score": link_score(path, F.col("text"), F.col("in_footer"), F.col("in_nav"), F.lit(depth)), "url_norm": normalize_plain_url(F.col("resolved"))})
+    return kept.withColumns({"keyword": keyword_score(path, F.col("text")), "score": link_score(path, F.col("text"), F.col("in_footer"), F.col("in_nav"), F.lit(depth)), "url_norm": normalize_url(F.col("resolved"))})
 
 
 def frontier(scored: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trawlkit.functions import numbering, rules
 
@@ -34,6 +36,12 @@ def junk(shown: str) -> bool:
     return not low <= len(digits) <= high or len(set(digits)) == 1 or any(p.match(shown) for p in _JUNK)
 
 
+@F.pandas_udf(T.BooleanType())
+def is_junk(shown: pd.Series) -> pd.Series:
+    """:func:`junk` as a column."""
+    return shown.map(junk, na_action="ignore")
+
+
 def _registered(text: str, at: int) -> bool:
     return bool(_REGISTER.search(text[max(0, at - rules.REGISTER_REACH) : at]))
 
@@ -61,6 +69,12 @@ def candidates(text: str, anchors: list[dict], region: str | None, extra: list[s
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def shown_numbers(texts: pd.Series) -> pd.Series:
+    """The distinct number-like pieces of a text, in order; ``candidates`` of a page without links and region."""
+    return texts.map(lambda t: [c["value"] for c in candidates(t, [], None, [])])
+
+
 def page_phones(text: str, anchors: list[dict], region: str | None, extra: list[str] = ()) -> tuple[list[dict], list[dict]]:
     """(valid, uncertain) numbers of a page, in order of discovery."""
     valid: dict[str, dict] = {}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from trawlkit.functions import rules
 from trawlkit.functions.emails import DISGUISE, decoded_cfemail, deobfuscated, false_email, found_emails, is_email, mailto_address
 from trawlkit.functions.rules import java
+from trawlkit.functions.session import per_session
 from trawlkit.functions.socials import detected, dialled_number, only_profiles, vendor_credit, with_profile
 from trawlkit.functions.tech import detect_technologies, plain_headers
 from trawlkit.functions.text import scan_safe
@@ -32,6 +33,7 @@ def _found(field, value: Column, from_href: Column, in_footer: Column) -> Column
     return F.struct((F.lit(field) if isinstance(field, str) else field).alias("field"), value.alias("value"), from_href.alias("from_href"), in_footer.alias("in_footer"))
 
 
+@per_session
 def email_hits() -> Column:
     """Addresses of a parsed page in order of evidence: links, coded ones, text, text with disguises undone."""
     linked = F.transform(F.filter("anchors", lambda a: a["href"].rlike(java(rules.MAILTO))), lambda a: _found("emails", mailto_address(a["href"]), F.lit(True), a["in_footer"]))
@@ -40,6 +42,7 @@ def email_hits() -> Column:
     return F.concat(linked, coded, shown(F.col("safe_text")), shown(F.coalesce("plain_text", F.lit(""))))
 
 
+@per_session
 def social_urls(platform: str) -> Column:
     """Urls of a page that a platform's pattern finds: in the raw html, then in whole links."""
     none = F.array().cast("array<struct<field:string,value:string,from_href:boolean,in_footer:boolean>>")

@@ -95,7 +95,7 @@ def page_count(rows: int, per_page: int = PER_PAGE) -> int:
     return -(-rows // per_page)
 
 
-def apply_page(df: DataFrame, page: int, per_page: int = PER_PAGE, *order: str) -> DataFrame:
+def apply_page(df: DataFrame, page: int, per_page: int = PER_PAGE, *order: str | Column) -> DataFrame:
     """The 1-based page; a page out of range is the first. Rows are numbered by ``order``, so pages are the same on every run."""
     total = page_count(df.count(), per_page)
     at = page if 1 <= page <= total else 1
@@ -106,11 +106,12 @@ def apply_page(df: DataFrame, page: int, per_page: int = PER_PAGE, *order: str)
 
 
 def request(df: DataFrame, *, filters=(), sort=None, view=None, page=None, per_page: int = PER_PAGE, order: tuple[str, ...] = ("domain",)) -> DataFrame:
-    """Filter, sort, view, page, in this order."""
+    """Filter, sort, page, view. Pages are cut from the sorted rows; ``order`` settles ties and unsorted rows."""
     out = apply_filters(df, list(filters))
+    by = [] if sort in (None, "no_sort") else [F.asc_nulls_last(sort)]
     if page is not None:
-        out = apply_page(out, page, per_page, *order)
-    return apply_view(apply_sort(out, sort), view)
+        out = apply_page(out, page, per_page, *by, *order)
+    return apply_view(out.orderBy(*by, *order) if by else out, view)
 
 
 def export_ready(df: DataFrame, english: bool = True) -> DataFrame:

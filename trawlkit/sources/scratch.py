@@ -1,7 +1,8 @@
 """Tables kept for the length of a session, in the folder that driver and executors share.
 
-That folder is named by ``spark.checkpoint.dir``; where the setting is unset
-(tests), a temporary one is set for the session. A lost executor costs no more
+That folder is named by ``spark.checkpoint.dir``. Where the setting is unset, a
+temporary one is set for the session in local mode (tests); on a cluster that is
+an error, as executors would write to their own disks. A lost executor costs no more
 than the tasks it was running, for what is written here stays. Tables lie in a
 folder named by the application; delete it once the application has ended.
 """
@@ -9,6 +10,7 @@ folder named by the application; delete it once the application has ended.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="trawlkit-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
