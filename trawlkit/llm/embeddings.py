@@ -61,9 +61,9 @@ class IndexPlan:
 
 
 def index_plan(vectors: int) -> IndexPlan:
-    """64 pivots up to 2^18 vectors, then four times as many for each 16 times the vectors, with longer permutations."""
-    steps = min(5, max(0, math.ceil(math.log(max(vectors, 1) / (1 << 18), 16))))
-    return IndexPlan(64 << 2 * steps, 8 + 2 * steps, 4 if not steps else 5)
+    """256 pivots up to 2^20 vectors, then four times as many for each 16 times the vectors, with longer permutations."""
+    steps = min(4, max(0, math.ceil(math.log(max(vectors, 1) / (1 << 20), 16))))
+    return IndexPlan(256 << 2 * steps, 10 + 2 * steps, 5)
 
 
 def usable(vector: str, label: str):
