@@ -70,6 +70,25 @@ def test_svm_separates():
     assert langid.family_of("pt-BR") == "romance" and langid.family_of("xx") == "=xx"
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_svm_is_the_best_one(seed):
+    """Brute force: the primal objective cannot be lowered by a plain subgradient descent from the solution or from zero."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((30, 3))
+    y = x @ [1.0, -0.5, 0.2] + 0.4 * rng.standard_normal(30) > 0
+    w = langid.linear_svm(x, y, cost=1.0, passes=2000)
+    one, sign = np.c_[x, np.ones(30)], np.where(y, 1.0, -1.0)
+    cost = np.where(y, 30 / (2 * y.sum()), 30 / (2 * (~y).sum()))
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - sign * (one @ v))).sum()
+    best = loss(w)
+    for v in (w.copy(), np.zeros(4)):
+        for k in range(4000):
+            inside = sign * (one @ v) < 1
+            v = v - (0.5 / (k + 10)) * (v - (cost * sign * inside) @ one)
+            assert loss(v) >= best - 1e-3 * best
+    assert loss(v) <= 1.02 * best
+
+
 # mixing
 
 
@@ -195,6 +214,13 @@ def test_prefixes_are_scored_once():
     assert small.count("abba abab abb abba") == counter.count("abba abab abb abba")
 
 
+def test_texts_without_blanks_enter_the_trie():
+    counter = tokencount.TrieCounter(PIECES)
+    long = "abba" * 600
+    assert counter.tokens(long) == counter._array("▁" + long) and counter.nodes > 2400
+    assert tokencount.TrieCounter(PIECES, trie_chars=50).tokens(long) == counter.tokens(long)
+
+
 def test_token_counts(spark, sf_dir, odd, empty):
     pieces = tokencount.read_pieces()
     counter = tokencount.TrieCounter(pieces)
@@ -236,6 +262,20 @@ def test_multiple_instance_learning():
     assert scorer.score(". ".join(t for t, y in zip(texts, labels) if not y))[0] < 0.5
 
 
+def test_scores_are_a_noisy_or():
+    """Brute force: one less the chance that neither the leak nor any sentence is toxic."""
+    texts, labels = toxic_corpus()
+    model = toxicity.fit(texts[:300], labels[:300])
+    scorer = toxicity.Scorer(model)
+    for text in texts[300:]:
+        clean = 1 - model.leak
+        for a, b in toxicity.sentence_spans(text):
+            total = sum(model.word(w) for w in {*toxicity._WORD.findall(text[a:b].lower())})
+            if total > 0:
+                clean *= 1 - 1 / (1 + np.exp(-(model.bias + total)))
+        assert scorer.score(text)[0] == pytest.approx(1 - clean)
+
+
 def test_toxicity_report(spark, odd, empty):
     texts, labels = toxic_corpus()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")

@@ -14,8 +14,9 @@ fewer tokens, then to the longer last piece.
 
 Every Python worker keeps a trie from task to task and clears it beyond
 ``max_nodes`` (and the terminal counts beyond twice as many), which costs work
-and changes nothing; counts need no shuffle. A pre-token longer than
-``trie_chars`` is scored along an array instead.
+and changes nothing; counts need no shuffle. Texts without blanks enter the trie
+like words; only a pre-token longer than ``trie_chars``, which would fill the trie
+by itself, is scored along an array instead, by the same recurrence.
 
 Defined cases: null, empty and blank texts have no tokens; repeated rows get
 equal counts.
@@ -49,7 +50,7 @@ def read_pieces(path: str = VOCABULARY) -> dict[str, float]:
 
 
 class TrieCounter:
-    def __init__(self, pieces: dict[str, float], max_nodes: int = 500_000, trie_chars: int = 64):
+    def __init__(self, pieces: dict[str, float], max_nodes: int = 500_000, trie_chars: int = 1 << 14):
         self.pieces, self.max_nodes, self.trie_chars = pieces, max_nodes, trie_chars
         self.longest = max(map(len, pieces), default=1)
         #: pieces by their last character backwards: {char: {...}}, "" holds the score
