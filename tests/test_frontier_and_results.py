@@ -128,6 +128,17 @@ def test_scratch_is_shared_off_local_mode():
         scratch.shared_dir(Session)
 
 
+def test_a_scope_deletes_what_nothing_reads(spark):
+    with scratch.scope(spark) as drop:
+        one = scratch.saved(spark.range(3), "one")
+        with scratch.scope(spark):
+            two = scratch.saved(spark.range(5), "two")
+        drop(two)
+    assert two.count() == 5
+    with pytest.raises(Exception):
+        one.count()
+
+
 def test_tasks(spark, tmp_path):
     client = Client(spark, f"file://{tmp_path}")
     made = client.create(7, [" a.com ", "", "a.com", "b.com"])

@@ -14,6 +14,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,20 +38,49 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Paths of the tables that the running :func:`scope` has saved.
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Collects the tables saved inside; the function it gives deletes them, but for those that the frames it gets still read."""
+    held: list[str] = []
+    token = _held.set(held)
+
+    def drop(*keep: DataFrame) -> None:
+        read = {f.rsplit("/", 1)[0] for df in keep for f in df.inputFiles()}
+        kept = {p.rsplit("/", 1)[-1] for p in read}
+        for path in [p for p in held if p.rsplit("/", 1)[-1] not in kept]:
+            _delete(spark, path)
+            held.remove(path)
+
+    try:
+        yield drop
+    finally:
+        _held.reset(token)
+        if (outer := _held.get()) is not None:
+            outer += held
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and reread: cuts lineage, fixes values, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    if (held := _held.get()) is not None:
+        held.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_saved(df: DataFrame) -> None:
     """Deletes the files behind a frame from :func:`saved` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
