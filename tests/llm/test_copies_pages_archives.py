@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import time
+from collections import Counter
 from html import escape
 
 import duckdb
@@ -55,6 +56,8 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {n: r for n, r in grouped(pairs, {n for p in pairs for n in p}).items() if n != r}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), max_rounds=1)
 
 
 # SimHash
@@ -165,10 +168,12 @@ def five_words(text):
 
 
 def alike_pairs(texts, least=0.8):
-    """Brute force over texts that share a shingle: pairs at ``least`` or more."""
-    sets, holders = [five_words(t) for t in texts], {}
+    """All pairs at ``least`` or more: such sets share one of the rarest shingles of either, as many as may be missing and one more."""
+    sets, often, holders = [five_words(t) for t in texts], Counter(), {}
+    for s in sets:
+        often.update(s)
     for i, s in enumerate(sets):
-        for x in s:
+        for x in sorted(s, key=lambda x: (often[x], x))[: len(s) - math.ceil(least * len(s)) + 1]:
             holders.setdefault(x, []).append(i)
     met = {(i, j) for h in holders.values() for a, i in enumerate(h) for j in h[:a]}
     return [(i, j) for i, j in met if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlkit.sources.scratch import drop_saved, saved, scratch_path, shared_dir, spread
+from trawlkit.sources.scratch import drop_saved, saved, scope, scratch_path, shared_dir, spread
 
 
 #: Bytes of input that a Python worker works on at a time.
@@ -61,7 +61,7 @@ def hash_order(*cols):
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-__all__ = ["ASCII_LOWER", "blocked", "crc_mod", "drop_saved", "frugal", "group_edges", "hash_order", "saved", "scratch_path", "shared_dir", "spread", "table", "whole_groups"]
+__all__ = ["ASCII_LOWER", "blocked", "crc_mod", "drop_saved", "frugal", "group_edges", "hash_order", "saved", "scope", "scratch_path", "shared_dir", "spread", "table", "whole_groups"]
 
 #: A-Z to a-z, everything else as it is.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.llm.common import frugal, group_edges, saved, whole_groups
+from trawlkit.llm.common import drop_saved, frugal, group_edges, saved, whole_groups
 from trawlkit.llm.decontaminate import suffix_array
 
 RUN_TOKENS, MIN_PAGES, SHARD_TOKENS = 8, 3, 250_000
@@ -365,7 +365,9 @@ def repeated(found: DataFrame, depth: int, min_pages: int, shard_tokens: int) ->
     ordered = dealt.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard")
     told = saved(ordered.mapInArrow(_arrays(depth, min_pages, shard_tokens), _STARTS), "starts")
     starts = told.select("row", "starts")
-    if sizes.filter("shards > 1").isEmpty():
+    one_each = sizes.filter("shards > 1").isEmpty()
+    drop_saved(streams)
+    if one_each:
         return starts
     open_at = told.select("row", "page", F.posexplode("windows").alias("at", "window")).filter("window is not null")
     wide = open_at.select("window", "page").distinct().groupBy("window").count().filter(F.col("count") >= min_pages).select("window")

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.llm.common import frugal, saved
+from trawlkit.llm.common import drop_saved, frugal, saved
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -291,6 +291,7 @@ def learn(found: DataFrame, *, name: str = "spans") -> dict[str, float]:
     post = reliabilities([(r.kind, tuple(map(int, r.votes)), r.n) for r in sorted(patterns, key=lambda r: (r.kind, r.votes))])
     known = found.sparkSession.createDataFrame([(k, "".join(map(str, v)), p) for (k, v), p in post.items()], "kind string, votes string, post double")
     keys = each.join(F.broadcast(known), ["kind", "votes"]).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("post")).alias("s")).collect()
+    drop_saved(each)
     return span_classifier([(r.key, float(r.n), r.s / r.n) for r in sorted(keys, key=lambda r: r.key)])
 
 
