@@ -228,6 +228,41 @@ def test_a_large_root_is_compared_whole(spark):
         assert {r.doc_id for r in similar.keep_one(docs, root_rows=rows).collect()} == whole
 
 
+@pytest.mark.parametrize("key_rows", [3, similar.KEY_ROWS])
+def test_rings_against_brute_force(spark, key_rows):
+    plan, rng = similar.PLAN, np.random.default_rng(3)
+    rows = [rng.integers(0, 2**64, plan.words, np.uint64) for _ in range(200)]
+    rows += [np.bitwise_xor.reduce([r, *(np.eye(plan.words, dtype=np.uint64)[b // 64] << np.uint64(b % 64) for b in rng.integers(0, 256, rng.integers(5, 60)))]) for r in rows[:60] for _ in range(4)]
+    rows += [np.array([rows[0][0], *rng.integers(0, 2**64, plan.words - 1, np.uint64)], np.uint64) for _ in range(60)]  # meet under many keys, and are not near
+    f = np.stack(rows)
+    one, other = np.triu_indices(len(f), 1)
+    ring = np.unpackbits((f[one] ^ f[other]).view(np.uint8), axis=1, bitorder="little")
+    near = np.zeros(len(one), dtype=bool)
+    for start in plan.starts:
+        met = np.flatnonzero(~np.roll(ring, -start * similar.SEGMENT_BITS, axis=1)[:, : similar.SEGMENT_BITS * plan.lead].any(1))
+        near[met[similar.chain_survivors(f[one[met]] ^ f[other[met]], np.full(len(met), start), plan)]] = True
+    prints = spark.createDataFrame([(i, *r.view(np.int64).tolist()) for i, r in enumerate(rows)], "node long, " + ", ".join(f"f{j} long" for j in range(plan.words)))
+    got = [(r.a, r.b) for r in similar.near_rings(prints, plan, key_rows).collect()]
+    assert grouped(got, range(len(f))) == grouped([*zip(one[near].tolist(), other[near].tolist())], range(len(f)))
+
+
+def test_unrelated_texts_change_no_candidate(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
+    texts = []
+    for _ in range(300):  # about 0.8 alike
+        base = [rng.choice(words) for _ in range(120)]
+        texts.append(" ".join(base))
+        for at in rng.sample(range(120), 3):
+            base[at] = rng.choice(words)
+        texts.append(" ".join(base))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    others = spark.range(1000, 135_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(c), F.col("id")) for c in "abcdef")).alias("text"))
+    alone = {r.doc_id for r in similar.keep_one(docs).collect()}
+    kept = similar.keep_one(docs.union(others))
+    assert {r.doc_id for r in kept.filter("doc_id < 1000").collect()} == alone
+
+
 def test_keep_one_recall_on_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text is not null")
     rows = docs.select("doc_id", "text").collect()

@@ -7,9 +7,12 @@ bits that form a ring. A row is dealt to one key for each start of a chain: the
 bits of the chain's first ``lead`` segments. Rows that meet under a key grow the
 chain segment by segment; the differences of its first ``l`` segments together
 may not exceed ``l * limit / segments`` for any ``l``, and the last step is the
-full Hamming check. Keys have a few bits more than the number of texts, so
-that comparisons grow with the texts (:func:`ring_plan`); recall is measured in
-the tests (0.9 at least of the pairs at 0.8 or more).
+full Hamming check. The ring is the same for every table (:data:`PLAN`), so
+whether two texts are a candidate depends on them alone; recall is measured in
+the tests (0.9 at least of the pairs at 0.8 or more). Rows are dealt with the 64
+bits that follow their key. Only rows that have a partner within the budgets of
+those are met again with whole sketches, so that chance meetings, which grow
+with the square of the texts, cost a comparison of one word and are not shuffled.
 
 Candidates join texts to roots, the components of their links. Only texts with
 a candidate are read again, for the hashes of their shingles; pairs of a root
@@ -29,7 +32,6 @@ and must be the same each time; columns of any name may come along.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,6 +50,8 @@ SIMILARITY, SHINGLE, SKETCH_SHINGLE = 0.8, 5, 2
 SEGMENT_BITS = 4
 #: Bits in which the sketches of a candidate pair may differ, for each 64 bits.
 LIMIT = 10
+#: Rows of a sample, one in so many, that tell which keys have many.
+SAMPLE = 64
 #: Rows under one key, sets (rows and bytes) of one root that a task compares.
 KEY_ROWS, ROOT_ROWS, ROOT_BYTES = 5_000, 500, 16 << 20
 #: Groups of up to so many rows are compared together, larger ones row by row.
@@ -73,10 +77,8 @@ class RingPlan:
         return range(0, self.segments, self.stride)
 
 
-def ring_plan(texts: int) -> RingPlan:
-    """Keys of at least 3 bits more than log2(texts), and as many of them as recall asks for: longer keys are hit less often."""
-    lead = max(5, math.ceil((math.log2(max(texts, 2)) + 3) / SEGMENT_BITS))
-    return RingPlan(4 << max(0, lead - 6), lead, 2 if lead == 5 else 1)
+#: Of the plans measured, one of high recall with few keys a row. It must not follow the number of texts: each plan finds other candidates.
+PLAN = RingPlan(4, 5, 2)
 
 
 def chain_survivors(diff: np.ndarray, start: np.ndarray, plan: RingPlan) -> np.ndarray:
@@ -103,16 +105,32 @@ def chain_survivors(diff: np.ndarray, start: np.ndarray, plan: RingPlan) -> np.n
     return left
 
 
+def budget_keepers(ahead: np.ndarray, plan: RingPlan) -> np.ndarray:
+    """Indexes of the rows of ``ahead`` (differing bits of a pair after the chain's lead) that keep within the budgets of those segments."""
+    left = np.arange(len(ahead))
+    for n in range(plan.lead + 1, min(plan.lead + 64 // SEGMENT_BITS, plan.segments) + 1):
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> np.uint64(64 - SEGMENT_BITS * (n - plan.lead))
+        left = left[np.bitwise_count(ahead[left] & mask) <= n * plan.limit // plan.segments]
+        if not len(left):
+            break
+    return left
+
+
+def _bits_from(names: list[str], at: int) -> Column:
+    """The 64 bits of the ring that begin with bit ``at``."""
+    word, shift = divmod(at % (64 * len(names)), 64)
+    bits = F.shiftrightunsigned(F.col(names[word]), shift)
+    return bits.bitwiseOR(F.shiftleft(F.col(names[(word + 1) % len(names)]), 64 - shift)) if shift else bits
+
+
 def ring_keys(names: list[str], plan: RingPlan) -> list[Column]:
-    """A column for each start of a chain: its number, and the bits of the chain's first segments."""
+    """(key, ahead) for each start of a chain: its number and the bits of its first segments, then the 64 bits that follow."""
     width = SEGMENT_BITS * plan.lead
     out = []
     for i, start in enumerate(plan.starts):
-        word, shift = divmod(start * SEGMENT_BITS, 64)
-        bits = F.shiftrightunsigned(F.col(names[word]), shift)
-        if shift + width > 64:
-            bits = bits.bitwiseOR(F.shiftleft(F.col(names[(word + 1) % plan.words]), 64 - shift))
-        out.append(bits.bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << width)))
+        at = start * SEGMENT_BITS
+        key = _bits_from(names, at).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << width))
+        out.append(F.struct(key.alias("key"), _bits_from(names, at + width).alias("ahead")))
     return out
 
 
@@ -218,11 +236,60 @@ def _under_keys(plan: RingPlan):
     return run
 
 
+def _partnered(plan: RingPlan):
+    """The rows (key, node) that have a partner under their key within the budgets ahead; rows are (key, node, ahead) sorted by the first."""
+
+    def of_small(group, ahead, met):
+        for gap in range(1, min(_SMALL, len(group))):
+            at = np.flatnonzero(group[:-gap] == group[gap:])
+            if not len(at):
+                break
+            near = at[budget_keepers(ahead[at] ^ ahead[at + gap], plan)]
+            met[near] = met[near + gap] = True
+
+    def of_large(ahead, met):
+        for i in range(len(met)):
+            if not met[i]:
+                near = budget_keepers(ahead ^ ahead[i], plan)
+                if len(near) > 1:
+                    met[near] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, 1):
+            key, node, ahead = _numbers(batch, 3)
+            ahead = ahead.view(np.uint64)
+            edges = group_edges([key])
+            group = np.cumsum(edges)
+            first = np.append(np.flatnonzero(edges), len(key))
+            size = np.diff(first)
+            met = np.zeros(len(key), dtype=bool)
+            small = np.flatnonzero(np.repeat((size > 1) & (size <= _SMALL), size))
+            found = np.zeros(len(small), dtype=bool)
+            of_small(group[small], ahead[small], found)
+            met[small] = found
+            for g in np.flatnonzero(size > _SMALL).tolist():
+                s = slice(first[g], first[g + 1])
+                of_large(ahead[s], met[s])
+            if met.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(node[met])], names=["key", "node"])
+
+    return run
+
+
 def near_rings(prints: DataFrame, plan: RingPlan, key_rows: int = KEY_ROWS) -> DataFrame:
     """Forest links (a, b) among the rows of ``prints`` (node, f0, f1, ...) that share a chain and are near."""
     names = [f"f{j}" for j in range(plan.words)]
-    keys = prints.select("node", F.explode(F.array(*ring_keys(names, plan))).alias("key"))
-    # most keys belong to one text: what meets under the others is little
+    dealt_to = lambda rows: rows.select("node", F.inline(F.array(*ring_keys(names, plan))))
+    keys = dealt_to(prints)
+    # keys of many rows are not gone through in one task: all their rows are met below, in blocks
+    sample = dealt_to(prints.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0))
+    heavy = saved(sample.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLE > key_rows).select("key"), "heavykeys")
+    crowded = not heavy.isEmpty()
+    light = keys.join(heavy, "key", "left_anti") if crowded else keys
+    met = light.select("key", "node", "ahead").repartition("key").sortWithinPartitions("key").mapInArrow(_partnered(plan), "key long, node long")
+    if crowded:
+        met = met.unionByName(keys.join(heavy, "key", "left_semi").select("key", "node"))
+    keys = saved(met, "metkeys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / key_rows).cast("int"))
     met = keys.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = met.select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -327,9 +394,8 @@ def similar_components(prints: DataFrame, texts: DataFrame, plan: RingPlan, simi
     return smallest_of_group(held, "rep", "component_id").select("digest", "node", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY, plan: RingPlan | None = None, **options) -> DataFrame:
+def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY, plan: RingPlan = PLAN, **options) -> DataFrame:
     """``docs`` with one document of each component of similar texts: the smallest ``doc_id``, one row of it where rows repeat."""
-    plan = plan or ring_plan(docs.count())
     named_h = "_h"
     while named_h in docs.columns:
         named_h += "_"
