@@ -10,6 +10,7 @@ from html import escape
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -246,6 +247,20 @@ def test_rings_against_brute_force(spark, key_rows):
     assert grouped(got, range(len(f))) == grouped([*zip(one[near].tolist(), other[near].tolist())], range(len(f)))
 
 
+def test_chance_meetings_are_not_met_again():
+    rng = np.random.default_rng(8)
+    key = np.repeat(np.arange(300), rng.integers(1, 80, 300))
+    ahead = rng.integers(0, 2**64, len(key), np.uint64)
+    for i in np.flatnonzero(rng.random(len(key)) < 0.1)[1:]:
+        ahead[i] = ahead[i - 1] ^ np.uint64(int(rng.integers(0, 2**64, dtype=np.uint64)) & (1 << int(rng.integers(0, 64))))
+    plan = similar.PLAN
+    keeps = lambda d: all((int(d) & ((1 << 4 * (n - plan.lead)) - 1)).bit_count() <= n * plan.limit // plan.segments for n in range(plan.lead + 1, plan.lead + 17))
+    with_partner = {i for k in range(300) for at in [np.flatnonzero(key == k).tolist()] for i in at if any(j != i and keeps(ahead[i] ^ ahead[j]) for j in at)}
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(key))), pa.array(ahead.view(np.int64))], names=["key", "node", "ahead"])
+    got = [n for b in similar._partnered(plan)(rows.slice(at, 700) for at in range(0, len(key), 700)) for n in b.column(1).to_pylist()]
+    assert sorted(got) == sorted(with_partner) and 100 < len(got) < len(key) / 3
+
+
 def test_unrelated_texts_change_no_candidate(spark):
     rng = random.Random(11)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
