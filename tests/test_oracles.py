@@ -39,3 +39,14 @@ def compare(spark, duck, sf_dir, run, sql):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_oracle(spark, duck, sf_dir, name):
     compare(spark, duck, sf_dir, catalog.QUERIES[name], catalog.ORACLES[name])
+
+
+def test_phone_extract_whatever_stands_around(spark, duck, tmp_path):
+    """Numbers behind register labels, in long tokens and dates, split by a carriage return, with digits of other scripts, in repeated ids."""
+    texts = ["VAT no 47.137.250.251", "tax id +1 (632) 555-4827", "x" * 330 + "4155552671", "on 01.02.2024 5551234", "(030) 12\r3456", "(12) 34٣56, (12) 34٣567", "2024-01-02 and 2024-01-02", "call 415-555-2671", "+49 30 901820, 0049 30 901820", None, ""]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(7, "again 415-555-2671 ")], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        for name in ("phone_extract", "phone_junk_filter"):
+            compare(spark, c, str(tmp_path), catalog.QUERIES[name], catalog.ORACLES[name])

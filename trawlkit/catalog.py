@@ -352,16 +352,16 @@ _SQL_JUNK = " OR ".join(f"regexp_matches(v, '{_sql(p)}')" for p in rules.PHONE_J
 
 
 def _phones(spark, sf_dir) -> DataFrame:
-    # most places hold nothing a number could begin with; the lookahead settles them at once
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?=[0-9(+])" + rules.PHONE), F.lit(0))
+    # most places hold nothing a number could begin with; the lookahead settles them at once, and (?d) lets a dot be all but a line feed
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?d)(?=[0-9(+])" + rules.PHONE), F.lit(0))
     return _t(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("v")).filter(F.length(digits(F.col("v"))) >= rules.PHONE_DIGITS[0])
 
 
 @query(f"""SELECT DISTINCT doc_id, trim(v) AS phone FROM (SELECT doc_id, {_SQL_PHONE} AS v FROM documents)
 WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) >= 7 AND NOT regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')""")
 def phone_extract(spark, sf_dir):
-    """Number-like texts of each document, as the engine's own reader finds them."""
-    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(shown_numbers(F.coalesce("text", F.lit("")))).alias("phone")).withColumn("phone", F.trim("phone"))
+    """Number-like texts of each document, as the engine's own scan finds them; the words before a number, which its reader weighs, do not count here."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(shown_numbers(F.coalesce("text", F.lit("")))).alias("phone")).select("doc_id", F.trim("phone").alias("phone")).distinct()
 
 
 @query(f"""WITH h AS (SELECT doc_id, {_SQL_PHONE} AS v FROM documents), d AS (SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM h)
