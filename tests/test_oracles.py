@@ -53,6 +53,13 @@ def test_phone_extract_whatever_stands_around(spark, duck, tmp_path):
             compare(spark, c, str(tmp_path), catalog.QUERIES[name], catalog.ORACLES[name])
 
 
+@pytest.mark.parametrize("name, part", [("email_cf_decode", "ascii(")])
+def test_costly_expressions_are_computed_once(spark, sf_dir, name, part):
+    """The coded address and the words of a link are read many times; a plan that copied them would compute them as often."""
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(part) == 1
+
+
 @pytest.mark.parametrize("name", ["email_cf_decode", "social_facebooks", "link_scores"])
 def test_single_row_group_is_dealt_out(spark, tmp_path, name):
     """A file of one row group is read by one task, however many its splits; rows are dealt to all cores before the work."""

@@ -317,7 +317,7 @@ def email_cf_decode(spark, sf_dir):
     rows = _t(spark, sf_dir, "customer").withColumns({"email": F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@acme.com")), "key": (F.col("c_custkey") % 255 + 1).cast("int")})
     byte = lambda n: F.lower(F.lpad(F.hex(n), 2, "0"))
     coded = F.concat(byte(F.col("key").cast("long")), F.array_join(F.transform(F.filter(F.split("email", ""), lambda c: c != ""), lambda c: byte(F.ascii(c).bitwiseXOR(F.col("key")).cast("long"))), ""))
-    return rows.select("c_custkey", decoded_cfemail(coded).alias("email"))
+    return rows.select("c_custkey", coded.alias("code")).select("c_custkey", decoded_cfemail(F.col("code")).alias("email"))
 
 
 @query("SELECT c_custkey, CAST(CASE c_custkey % 5 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN -1 WHEN 3 THEN -2 ELSE 0 END AS BIGINT) AS bonus FROM customer")

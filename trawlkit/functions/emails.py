@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from trawlkit.functions import rules
 from trawlkit.functions.rules import java
+from trawlkit.functions.session import once
 
 
 def found_emails(text: Column, pattern: str = rules.EMAIL) -> Column:
@@ -42,9 +43,10 @@ def mailto_address(href: Column) -> Column:
 
 def decoded_cfemail(code: Column) -> Column:
     """Addresses written as hex bytes, each combined with the first byte by exclusive or; null if no such code."""
-    byte = lambda at: F.conv(F.substring(code, at, 2), 16, 10).cast("int")
-    chars = F.transform(F.sequence(F.lit(3), F.length(code) - 1, F.lit(2)), lambda i: F.chr(F.conv(code.substr(i, F.lit(2)), 16, 10).cast("int").bitwiseXOR(byte(1))))
-    return F.when(code.rlike("^(?:[0-9a-fA-F]{2}){2,}$"), F.array_join(chars, ""))
+    number = lambda two: F.conv(two, 16, 10).cast("int")
+    cut = F.struct(F.regexp_extract_all(code, F.lit("[0-9a-fA-F]{2}"), F.lit(0)).alias("bytes"), number(F.substring(code, 1, 2)).alias("key"))
+    text = once(cut, lambda c: F.array_join(F.transform(F.slice(c["bytes"], 2, F.size(c["bytes"]) - 1), lambda two: F.chr(number(two).bitwiseXOR(c["key"]))), ""))
+    return F.when(code.rlike("^(?:[0-9a-fA-F]{2}){2,}$"), text)
 
 
 #: What a disguised address cannot do without; other texts need no second look.

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 def per_session(build):
@@ -23,3 +25,8 @@ def per_session(build):
         return held[key]
 
     return found
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is read; inside a lambda nothing else shares it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
