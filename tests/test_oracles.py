@@ -53,7 +53,7 @@ def test_phone_extract_whatever_stands_around(spark, duck, tmp_path):
             compare(spark, c, str(tmp_path), catalog.QUERIES[name], catalog.ORACLES[name])
 
 
-@pytest.mark.parametrize("name, part", [("email_cf_decode", "ascii(")])
+@pytest.mark.parametrize("name, part", [("email_cf_decode", "ascii("), ("link_scores", "get-in-touch")])
 def test_costly_expressions_are_computed_once(spark, sf_dir, name, part):
     """The coded address and the words of a link are read many times; a plan that copied them would compute them as often."""
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

@@ -241,9 +241,10 @@ k AS (SELECT c_custkey, {_SQL_KEYWORD} AS kw FROM w)
 SELECT c_custkey, CAST(kw AS BIGINT) AS keyword, CAST(kw + CASE WHEN c_custkey % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 10 ELSE 0 END - 10 * (c_custkey % 3) AS BIGINT) AS score,
  CASE WHEN c_custkey = 1 THEN 'homepage' WHEN kw >= 90 THEN 'contact' WHEN kw >= 80 THEN 'about' ELSE 'other' END AS weight_class FROM k""")
 def link_scores(spark, sf_dir):
-    path, text, k = F.expr(_PATHS), F.expr(_LABELS), F.col("c_custkey")
-    keyword = keyword_score(path, text)
-    return _t(spark, sf_dir, "customer").select("c_custkey", _long(keyword).alias("keyword"), _long(link_score(path, text, k % 2 == 0, k % 3 == 0, k % 3)).alias("score"), weight_class(keyword, k == 1).alias("weight_class"))
+    k = F.col("c_custkey")
+    links = _t(spark, sf_dir, "customer").select("c_custkey", F.expr(_PATHS).alias("path"), F.expr(_LABELS).alias("text"))
+    scored = links.select("c_custkey", keyword_score(F.col("path"), F.col("text")).alias("keyword"))
+    return scored.select("c_custkey", _long("keyword").alias("keyword"), _long(link_score(F.col("keyword"), k % 2 == 0, k % 3 == 0, k % 3)).alias("score"), weight_class(F.col("keyword"), k == 1).alias("weight_class"))
 
 
 _LINKS = "CASE c_custkey % 9 WHEN 0 THEN 'https://a.com/x.PNG?v=1' WHEN 1 THEN 'https://a.com/login' WHEN 2 THEN 'https://a.com/blog/2024/05/x' WHEN 3 THEN 'ftp://a.com/x' WHEN 4 THEN 'https://a.com/page/12' WHEN 5 THEN 'https://a.com/pagers' WHEN 6 THEN 'https://a.com/x.pngs' WHEN 7 THEN 'http://a.com/tagged/' || c_custkey ELSE 'https://a.com/' || c_custkey END"

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from trawlkit.functions import rules
 from trawlkit.functions.rules import java, some
+from trawlkit.functions.session import once
 
 #: Second-level public suffixes: these labels under a country code are a suffix together with it.
 _SECOND = "ac co com edu gob gov gouv govt id ind mil ne net nic nom or org sch".split()
@@ -136,15 +137,20 @@ def keyword_score(path: Column, text: Column) -> Column:
     """What kind of page a link leads to: 100 contact, 90 imprint, 80 about, 60 support, 40 legal, else 10."""
     segments = F.transform(F.split(F.lower(path), "/"), lambda s: F.regexp_replace(s, rules.SEGMENT_TAIL, ""))
     label = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    words = F.filter(F.concat(segments, F.array(F.when(F.length(label) <= 30, label).otherwise(""))), lambda w: w != "")
-    score = F
-    for points, pattern in rules.KEYWORDS:
-        score = score.when(F.exists(words, lambda w: w.rlike(pattern)), points)
-    return score.otherwise(rules.NO_KEYWORD)
+    words = F.filter(F.concat(segments, F.array(once(label, lambda w: F.when(F.length(w) <= 30, w).otherwise("")))), lambda w: w != "")
 
+    def points(found: Column) -> Column:
+        score = F
+        for n, pattern in rules.KEYWORDS:
+            score = score.when(F.exists(found, lambda w: w.rlike(pattern)), n)
+        return score.otherwise(rules.NO_KEYWORD)
 
-def link_score(path: Column, text: Column, in_footer: Column, in_nav: Column, depth: Column) -> Column:
-    return keyword_score(path, text) + F.when(in_footer, 20).otherwise(0) + F.when(in_nav, 10).otherwise(0) - 10 * depth
+    return once(words, points)
+
+
+def link_score(keyword: Column, in_footer: Column, in_nav: Column, depth: Column) -> Column:
+    """A link's place in the crawl, by its :func:`keyword_score`; make that a column of its own."""
+    return keyword + F.when(in_footer, 20).otherwise(0) + F.when(in_nav, 10).otherwise(0) - 10 * depth
 
 
 def weight_class(keyword: Column, is_homepage: Column) -> Column:
