@@ -1,9 +1,12 @@
 """Whole pages to contact records: extraction order, merging, ranking, layout."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trawlkit.functions import rules
+from trawlkit.operators.batches import PIECE_BYTES
+from trawlkit.operators.parse import parse_pages
 from trawlkit.plans.contacts import contacts, error_rows, laid_out, page_hits
 from trawlkit.plans import results
 
@@ -120,3 +123,22 @@ def test_deep_and_hostile_pages(spark):
     html = "<div>" * 3000 + "a@deep.com" + "x" * 50_000 + ' "' + "q" * 20_000 + "</div>" * 3000 + " b@deep.com"
     r = contacts(spark.createDataFrame([("deep.com", 1, "https://deep.com/", html)], PAGES)).first()
     assert [x.value for x in r.emails] == ["b@deep.com"]
+
+
+class Caught:
+    """Stands for a frame: gives the function that a step would run on its Arrow batches."""
+
+    def __init__(self, spark, ddl):
+        self.schema = spark.createDataFrame([], ddl).schema
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_steps_on_pages_work_in_pieces(spark):
+    """A batch of long pages reaches the parser in pieces, so that a worker's memory follows bytes, not rows."""
+    html = "<p>call +1 415 555 2671</p>" + "<p>some words</p>" * 60_000
+    batch = pa.record_batch({"url": ["https://a.com/"] * 24, "html": [html] * 23 + [None]})
+    parsed = list(parse_pages(Caught(spark, "url string, html string"))(iter([batch])))
+    assert sum(b.num_rows for b in parsed) == 24 and len(parsed) >= 3 and max(b.nbytes for b in parsed) <= 3 * PIECE_BYTES
+    assert parsed[0]["text"][0].as_py().startswith("call +1 415 555 2671\nsome words") and parsed[-1]["text"][-1].as_py() == ""
