@@ -2,7 +2,10 @@
 
 import subprocess
 import sys
+import tracemalloc
+from unittest.mock import MagicMock
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +192,21 @@ def test_entry(spark):
 def test_the_rest_works_without_the_training_data_operators():
     code = "import sys; sys.modules['trawlkit.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; n = e.queries(); assert 'contacts' in n and 'pipeline' not in n and not any(x.startswith('op') for x in n); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_crawl_reads_only_what_it_fetches(spark):
+    """A site of many pages stays in Arrow; a crawl turns the few pages it fetches into Python objects."""
+    seeds = MagicMock()
+    crawl(seeds, MagicMock())
+    run = seeds.select.return_value.groupBy.return_value.cogroup.return_value.applyInArrow.call_args[0][0]
+    url = "https://a.com/p"
+    anchors = [{"resolved": f"{url}{k}", "text": "contact", "in_footer": False, "in_nav": False} for k in range(20)]
+    n = 5000
+    pages = pa.table({"seed_id": [1] * n, "url_norm": ["https://a.com", *(f"{url}{k}" for k in range(1, n))], "final_url": [None] * n, "status": [200, *[None] * (n - 1)], "error": pa.array([None] * n, pa.string()), "has_html": [True] * n, "anchors": [anchors] * n, "reason": pa.array([None] * n, pa.string()), "has_email": [False] * n, "has_phone": [False] * n})
+    tracemalloc.start()
+    out = run(pa.table({"seed_id": [1], "query": ["a.com"]}), pages).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["url"] for r in out[:3]] == ["https://a.com", f"{url}1", f"{url}2"] and len(out) == 20 and out[0]["is_homepage"]
+    assert peak < 5_000_000
+    assert run(pa.table({"seed_id": [1], "query": ["b.com"]}), pages.slice(0, 0)).to_pylist()[0]["error"].startswith("no page")

@@ -74,3 +74,14 @@ def test_single_row_group_is_dealt_out(spark, tmp_path, name):
         assert "Repartition" in catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_made_pages_of_a_single_row_group_are_dealt_out(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id AS s_suppkey")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        assert spark.read.parquet(f"{tmp_path}/supplier.parquet").rdd.getNumPartitions() >= 4
+        assert [r["count"] for r in catalog._made_pages(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()] == [400] * 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
